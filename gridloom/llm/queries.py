@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, mixing, packing, quality, simhash
+from . import ann, exact, mixing, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op7_nearest": op7_nearest,
+        "op8_toxicity": op8_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
