@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, mixing, packing, quality, simhash, toxicity
+from . import ann, exact, mixing, packing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op7_nearest": op7_nearest,
         "op8_toxicity": op8_toxicity,
+        "op4_warc_round_trip": op4_warc_round_trip,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
