@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, mixing, packing, quality, simhash, toxicity, warc
+from . import ann, chat, exact, mixing, packing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_trap(table(spark, sf_dir, "conversations"))))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_nearest": op7_nearest,
         "op8_toxicity": op8_toxicity,
         "op4_warc_round_trip": op4_warc_round_trip,
+        "op5_chat_windows": op5_chat_windows,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
