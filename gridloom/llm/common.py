@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` as one struct column ``_row`` beside ``columns``, so that names of
+    its own can't clash with theirs; ``select("_row.*")`` opens it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def bytes_of(text: Column | str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

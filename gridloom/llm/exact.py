@@ -8,10 +8,10 @@ texts share a level and a name if and only if they are equal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, hot_join
+from .common import boxed, bytes_of, cut, hot_join
 
 BLOCK_BYTES = 4096
 
@@ -102,10 +102,8 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     A row is found again by its id and text; of repeated rows one stays.
     """
-    from pyspark.sql import Window
-
     kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
-    left = docs.withColumn("_sha", F.sha2(bytes_of(text), 256))
-    found = left.join(kept, F.col(doc_id).eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha")), "left_semi")
-    first = Window.partitionBy(doc_id, "_sha").orderBy(F.lit(0))
-    return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    left = boxed(docs, _id=F.col(doc_id), _sha=F.sha2(bytes_of(text), 256))
+    found = left.join(kept, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha")), "left_semi")
+    first = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
+    return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*")

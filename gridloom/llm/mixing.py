@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, word_count
+from .common import boxed, cut, hot_join, word_count
 
 #: Rows that one window task orders at most, roughly.
 RUN_ROWS = 1_000_000
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
         sizes.withColumn("_weight", weight)
         .withColumn("_cap", F.col("source_size") * float(most))
         .withColumn("_level", level)
-        .withColumn("_level", F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level"))).over(all_rows))
+        .withColumn("_level", F.max(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level"))).over(all_rows))
         .withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("_weight")), F.col("_cap")))
         .drop("_weight", "_cap", "_level")
     )
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     plan = mixed(docs, doc_id, source, text, **options).filter("copies > 0")
     plan = plan.select(F.col("doc_id").alias("_kid"), F.col("source").alias("_ksource"), F.col("size").alias("_ksize"), "copies")
     plan = plan.withColumn("_knth", F.row_number().over(Window.partitionBy("_kid", "_ksource", "_ksize").orderBy(F.desc("copies"))))
-    left = docs.withColumn("_size", options["size"].cast("long") if options.get("size") is not None else word_count(text))
-    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, source, "_size").orderBy(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_kid")) & F.col(source).eqNullSafe(F.col("_ksource")) & (F.col("_size") == F.col("_ksize")) & (F.col("_nth") == F.col("_knth"))
-    return left.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    left = boxed(docs, _id=F.col(doc_id), _source=F.col(source), _size=options["size"].cast("long") if options.get("size") is not None else word_count(text), _text=F.col(text))
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_text"))).drop("_text")
+    same = F.col("_id").eqNullSafe(F.col("_kid")) & F.col("_source").eqNullSafe(F.col("_ksource")) & (F.col("_size") == F.col("_ksize")) & (F.col("_nth") == F.col("_knth"))
+    return left.join(plan, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")

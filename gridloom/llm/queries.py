@@ -76,7 +76,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, w * min(level) FILTER (WHERE level * w <= cap) OVER ()), cap) AS target,
+  SELECT source, source_size, coalesce(least(cap, w * max(level) FILTER (WHERE level * w <= cap) OVER ()), cap) AS target,
          CAST('0x' || substr(md5('7:' || coalesce('s' || source, 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM levels),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS nth FROM sized),
 rated AS (

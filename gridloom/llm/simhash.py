@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import boxed, cut, hot_join
 
 SHINGLE_WORDS = 3
 MOST_BITS = 2
@@ -213,9 +213,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id;
     columns unchanged.  Rows that repeat that id all go but one."""
-    from pyspark.sql import Window
-
     kept = simhash_groups(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kid")).distinct()
-    first = Window.partitionBy(doc_id).orderBy(text)
-    found = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kid")), "left_semi")
-    return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    first = Window.partitionBy("_id").orderBy("_text")
+    found = boxed(docs, _id=F.col(doc_id), _text=F.col(text)).join(kept, F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
+    return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*")
