@@ -76,3 +76,17 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     cold = right.filter(F.col(count) <= least)
     names = hot.select(*keys)
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(names), keys, "left_anti").join(cold, keys))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, spread: Column) -> DataFrame:
+    """Like ``hot_join``, but reads ``left`` once: rows of hot keys meet the
+    broadcast side and then go through the shuffle under a key of their own,
+    by ``spread``, so they are dealt evenly."""
+    least = max(total // HOT_SHARE, 10_000)
+    values = [c for c in right.columns if c not in keys and c != count]
+    hot = right.filter(F.col(count) > least).select(*keys, F.struct(*values).alias("_hot"))
+    cold = right.filter(F.col(count) <= least).select(F.struct(*keys).alias("_key"), F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold"))
+    met = left.join(F.broadcast(hot), keys, "left")
+    met = met.withColumn("_key", F.struct(*keys)).withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.shiftrightunsigned(F.xxhash64(spread), 1) + 1).otherwise(F.lit(0)).cast("long"))
+    found = met.join(cold, ["_key", "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found IS NOT NULL")
+    return found.select(*left.columns, "_found.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, exact, mixing, packing, quality, simhash, toxicity, warc
+from . import ann, chat, exact, mixing, packing, quality, simhash, substring, toxicity, warc
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(chat.with_trap(table(spark, sf_dir, "conversations"))))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op4_warc_round_trip": op4_warc_round_trip,
         "op5_chat_windows": op5_chat_windows,
+        "op2_repeated_passages": op2_repeated_passages,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
