@@ -120,4 +120,4 @@ def cell_status(c: Column) -> Column:
 
 def engine_kind(c: Column) -> Column:
     f = fold(c)
-    return F.when(f.contains("plug in") | f.contains("phev"), "PHEV").when(f.contains("diesel"), "DIESEL").otherwise("HYBRID")
+    return F.when(f.contains("plug in"), "PHEV").when(f.contains("dizel"), "DIESEL").otherwise("HYBRID")

@@ -464,7 +464,7 @@ def cell_status(spark, d):
 SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'PHEV' WHEN c_mktsegment = 'BUILDING' THEN 'DIESEL' ELSE 'HYBRID' END AS kind FROM customer""")
 def engine_kind(spark, d):
     seg = F.col("c_mktsegment")
-    engine = F.when(seg == "MACHINERY", "1.6 Plug-in Hybrid").when(seg == "BUILDING", "1.5 Diésel").otherwise("1.2 Turbo Hybrid")
+    engine = F.when(seg == "MACHINERY", "1.6 Plug-in Hybrid").when(seg == "BUILDING", "1.5 Dízel").otherwise("1.2 Turbo Hybrid")
     return read(spark, d, "customer").select("c_custkey", t.engine_kind(engine).alias("kind"))
 
 
