@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _PIECE = WORD + r"[^\p{L}\p{N}]*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: the optimiser copies a
+    column into each place of a lambda that uses it, and there it would be
+    computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
 

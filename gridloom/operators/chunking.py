@@ -55,40 +55,47 @@ def row_packs(counts: Column, prefix_words: Column, size: int) -> Column:
     """
     start = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("run"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, n):
-        fresh = (acc["pack"] < 0) | (acc["run"] + n > size)
-        pack = F.when(fresh, acc["pack"] + 1).otherwise(acc["pack"]).cast("int")
-        run = F.when(fresh, prefix_words + n).otherwise(acc["run"] + n).cast("long")
-        return F.struct(pack.alias("pack"), run.alias("run"), F.array_append(acc["out"], pack).alias("out"))
+    def packs(prefix):
+        def step(acc, n):
+            fresh = (acc["pack"] < 0) | (acc["run"] + n > size)
+            pack = F.when(fresh, acc["pack"] + 1).otherwise(acc["pack"]).cast("int")
+            run = F.when(fresh, prefix + n).otherwise(acc["run"] + n).cast("long")
+            return F.struct(pack.alias("pack"), run.alias("run"), F.array_append(acc["out"], pack).alias("out"))
 
-    return F.aggregate(counts, start, step, lambda acc: acc["out"])
+        return F.aggregate(counts, start, step, lambda acc: acc["out"])
+
+    return t.let(prefix_words, packs)
 
 
 def column_groups(headers: Column, rows: Column, prefix_words: Column, size: int) -> Column:
     """array<array<int>>: the columns (from 1) of each group of a table that is
     too wide; the first column is in every group.  One group for other tables."""
     cell = lambda h, v: F.when(t.clean(v) != "", t.word_count(h) + t.word_count(t.clean(v))).otherwise(F.lit(0))
-    counts = F.transform(rows, lambda r: F.zip_with(headers, r, cell))
+    counted = F.transform(rows, lambda r: F.zip_with(headers, r, cell))
     width = F.size(headers)
-    largest = F.array_max(F.transform(counts, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)))
-    wide = (width > 1) & (F.coalesce(largest, F.lit(0)) + prefix_words > size)
-    ints = "array<int>"
-    key = F.transform(counts, lambda r: r[0])
-    start = F.struct(F.array().cast(f"array<{ints}>").alias("done"), F.array().cast(ints).alias("now"), key.alias("sums"))
-
-    def step(acc, c):
-        own = F.transform(counts, lambda r: F.element_at(r, c))
-        sums = F.zip_with(acc["sums"], own, lambda a, x: a + x)
-        over = (F.size(acc["now"]) > 0) & (F.array_max(sums) + prefix_words > size)
-        first = F.array(F.lit(1))
-        return F.struct(
-            F.when(over, F.array_append(acc["done"], F.concat(first, acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.array(c)).otherwise(F.array_append(acc["now"], c)).cast(ints).alias("now"),
-            F.when(over, F.zip_with(key, own, lambda a, x: a + x)).otherwise(sums).alias("sums"),
-        )
-
-    split = F.aggregate(F.sequence(F.lit(2), F.greatest(width, F.lit(2))), start, step, lambda acc: F.array_append(acc["done"], F.concat(F.array(F.lit(1)), acc["now"])))
-    return F.when(wide, split).otherwise(F.array(F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast(ints))))
+    ints, first = "array<int>", F.array(F.lit(1))
+
+    def groups(known):
+        counts, prefix = known["counts"], known["prefix"]
+        largest = F.array_max(F.transform(counts, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)))
+        wide = (width > 1) & (F.coalesce(largest, F.lit(0)) + prefix > size)
+        key = F.transform(counts, lambda r: r[0])
+        start = F.struct(F.array().cast(f"array<{ints}>").alias("done"), F.array().cast(ints).alias("now"), key.alias("sums"))
+
+        def step(acc, c):
+            own = F.transform(counts, lambda r: F.element_at(r, c))
+            sums = F.zip_with(acc["sums"], own, lambda a, x: a + x)
+            over = (F.size(acc["now"]) > 0) & (F.array_max(sums) + prefix > size)
+            return F.struct(
+                F.when(over, F.array_append(acc["done"], F.concat(first, acc["now"]))).otherwise(acc["done"]).alias("done"),
+                F.when(over, F.array(c)).otherwise(F.array_append(acc["now"], c)).cast(ints).alias("now"),
+                F.when(over, F.zip_with(key, own, lambda a, x: a + x)).otherwise(sums).alias("sums"),
+            )
+
+        split = F.aggregate(F.sequence(F.lit(2), F.greatest(width, F.lit(2))), start, step, lambda acc: F.array_append(acc["done"], F.concat(first, acc["now"])))
+        return F.when(wide, split).otherwise(F.array(F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast(ints))))
+
+    return t.let(F.struct(counted.alias("counts"), prefix_words.alias("prefix")), groups)
 
 
 def _prefix_words() -> Column:
@@ -205,8 +212,9 @@ def text_chunks(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, lea
     each = chunk_words(groups.select("corpus_id", "members", "_counts", "_ends", "_source"), "_source", size, overlap)
     each = each.withColumn("_lo", F.col("id") * step).withColumn("_hi", F.col("_lo") + t.word_count(F.col("source_text")))
     spans = F.arrays_zip(F.col("members").alias("m"), F.col("_counts").alias("n"), F.col("_ends").alias("e"))
-    touched = F.transform(F.filter(spans, lambda x: (x["e"] > F.col("_lo")) & (x["e"] - x["n"] < F.col("_hi")) & (x["n"] > 0)), lambda x: x["m"])
-    each = each.withColumn("_touched", F.when(F.size(touched) > 0, touched).otherwise(F.slice("members", 1, 1))).withColumn("_head", F.col("_touched")[0])
+    window = F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    touched = t.let(window, lambda s: F.transform(F.filter(spans, lambda x: (x["e"] > s["lo"]) & (x["e"] - x["n"] < s["hi"]) & (x["n"] > 0)), lambda x: x["m"]))
+    each = each.withColumn("_touched", t.let(touched, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice("members", 1, 1)))).withColumn("_head", F.col("_touched")[0])
     pages = F.array_sort(F.array_distinct(F.filter(F.transform("_touched", lambda m: m["page"]), lambda p: p.isNotNull())))
     each = each.withColumn("_pages", pages)
     several = F.size("_pages") > 1

@@ -40,7 +40,7 @@ def test_pages_to_corpus_to_chunks(spark, tmp_path):
         api.web_corpus(spark, [("https://a", "https://a/", "")], tmp_path, "k")
     target = tmp_path / "chunks.json"
     api.build_chunks(spark, saved.blocks_path, target, chunk_size=3, chunk_overlap=1)
-    assert [c["text"] for c in json.loads(target.read_text())] == ["T", "one two three", "three four"]
+    assert [c["text"] for c in json.loads(target.read_text())] == ["T one two", "two three four"]
     with pytest.raises(ValueError, match="no chunks"):
         api.build_chunks(spark, [], target)
 
