@@ -112,7 +112,8 @@ def _metadata() -> dict[str, Column]:
 
 def table_chunks(tables: DataFrame, size: int) -> DataFrame:
     """Packs of whole rows of table blocks, wide tables in groups of columns."""
-    grouped = tables.withColumn("_groups", column_groups(F.col("headers"), F.col("rows"), _prefix_words(), size)).withColumn("_many", F.size("_groups"))
+    grouped = tables.withColumn("_prefix", _prefix_words())
+    grouped = grouped.withColumn("_groups", column_groups(F.col("headers"), F.col("rows"), F.col("_prefix"), size)).withColumn("_many", F.size("_groups"))
     grouped = grouped.select("*", F.posexplode("_groups").alias("_g", "_cols")).drop("_groups")
     pick = lambda a: F.transform("_cols", lambda i: F.element_at(a, i))
     grouped = grouped.withColumns(
@@ -123,7 +124,7 @@ def table_chunks(tables: DataFrame, size: int) -> DataFrame:
         }
     )
     texts = grouped.withColumn("_texts", F.transform("rows", lambda r: t.render_row(F.col("headers"), r)))
-    packs = texts.withColumn("_packs", row_packs(F.transform("_texts", t.word_count), _prefix_words(), size))
+    packs = texts.withColumn("_packs", row_packs(F.transform("_texts", t.word_count), F.col("_prefix"), size))
     each = packs.withColumn("_pack", F.explode(F.array_distinct("_packs"))).withColumn("_lo", F.array_position("_packs", F.col("_pack")).cast("int"))
     n = F.size(F.filter("_packs", lambda p: p == F.col("_pack")))
     each = each.withColumn("_hi", F.col("_lo") + n - 1).withColumn("_some", F.slice("rows", F.col("_lo"), F.col("_hi") - F.col("_lo") + 1))
