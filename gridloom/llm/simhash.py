@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, hot_join
+from .common import boxed, bytes_of, cut, hot_join
 
 SHINGLE_WORDS = 3
 MOST_BITS = 2
@@ -210,10 +210,25 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return hot_join(rows, named, ["fp"], "members", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id;
-    columns unchanged.  Rows that repeat that id all go but one."""
-    kept = simhash_groups(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kid")).distinct()
-    first = Window.partitionBy("_id").orderBy("_text")
-    found = boxed(docs, _id=F.col(doc_id), _text=F.col(text)).join(kept, F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` as ``_row`` beside ``_text`` and ``_key``: the row's id (nulls
+    last) and the SHA-256 of its text, which tell rows of one id apart."""
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.unhex(F.sha2(bytes_of(text), 256)).alias("sha"))
+    return boxed(docs, _key=key, _text=F.col(text).cast("string"))
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is in ``kept`` (_kept), one of each key."""
+    same = (F.col("_key.sha") == F.col("_kept.sha")) & F.col("_key.id").eqNullSafe(F.col("_kept.id"))
+    found = rows.drop("_text").join(kept, same, "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.lit(0))
     return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*")
+
+
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest id
+    (and least SHA-256, if that repeats; without any id, of the least SHA-256);
+    columns unchanged."""
+    rows = keyed(docs, doc_id, text)
+    kept = simhash_groups(rows, "_key", "_text", **options).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    return keep_rows(rows, kept)
