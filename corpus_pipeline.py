@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact, mixing, packing, quality, simhash
+from gridloom.llm import exact, mixing, near, packing, quality
 from gridloom.llm.common import shared_folder, table
 
 
@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group, that with the smallest doc_id."""
-    return simhash.drop_near(docs)
+    """Keeps one document of those whose five-word shingles are 0.8 alike, that with the smallest doc_id."""
+    return near.drop_alike(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,24 @@ def test_every_group_keeps_one_document_whatever_the_ids(spark):
     got = sorted(((r.text or "").lower(), r.doc_id) for r in kept.collect())
     want = {t.lower(): None for t in others} | {others[1]: 3, "": None, x: 5, y: 2}
     assert got == sorted(want.items())
+
+
+def test_the_pipeline_drops_copies_of_0_8_and_keeps_the_rest(spark):
+    import corpus_pipeline
+
+    pick = random.Random(3)
+    rows = []
+    for i in range(100):
+        words = text(pick, 300 if i % 2 else 100).split()
+        rows.append((i, " ".join(words), 1))
+        edits = (3, 6) if i % 2 else (1, 2)
+        copy = list(words)
+        for j in pick.sample(range(len(words) // 10), edits[i // 2 % 2]):
+            copy[10 * j] = "changed"
+        rows.append((1000 + i, "\n".join(copy), 1))
+        far = [w if pick.random() > 0.1 else "other" for w in words]
+        rows.append((2000 + i, " ".join(far), 1))
+    rows += [(3000, "", 1), (3001, None, 1), (3002, "a b", 1), (3003, "A  B", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {*range(100), *range(2000, 2100), 3000, 3002}
