@@ -22,20 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one if unset."""
+    """The shared folder of ``spark.checkpoint.dir``.  Where that is unset a
+    private folder serves on a local master; on a cluster it is an error, since
+    executors don't see each other's disks."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder: its lineage ends there, so lost
-    executors cost a reread only.  Spark deletes the files with the DataFrame."""
+    executors cost a reread only.  The files go when the driver drops the
+    DataFrame: the setting for that is turned on here, as Spark's default is off."""
     checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared folder, whatever file system that is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder, for files that tasks write."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -84,9 +97,23 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     by ``spread``, so they are dealt evenly."""
     least = max(total // HOT_SHARE, 10_000)
     values = [c for c in right.columns if c not in keys and c != count]
+    if total <= least:
+        return left.join(right.drop(count), keys)
     hot = right.filter(F.col(count) > least).select(*keys, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(count) <= least).select(F.struct(*keys).alias("_key"), F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold"))
+    cold = right.filter(F.col(count) <= least).select(*keys, F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold"))
     met = left.join(F.broadcast(hot), keys, "left")
-    met = met.withColumn("_key", F.struct(*keys)).withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.shiftrightunsigned(F.xxhash64(spread), 1) + 1).otherwise(F.lit(0)).cast("long"))
-    found = met.join(cold, ["_key", "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found IS NOT NULL")
+    met = met.withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.shiftrightunsigned(F.xxhash64(spread), 1) + 1).otherwise(F.lit(0)).cast("long"))
+    found = met.join(cold, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found IS NOT NULL")
     return found.select(*left.columns, "_found.*")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, most: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` (materialised) with the wide rows of ``right``,
+    unique on ``key``.  A key with more than ``most`` rows of ``left`` is dealt
+    to parts by ``spread``, and its row of ``right`` is sent to each of them,
+    so neither a task nor a broadcast grows with a hot key."""
+    counts = cut(left.groupBy(key).agg(F.count("*").alias("_many")))
+    parts = F.ceil(F.col("_many") / most).cast("int")
+    dealt = hot_join(left, counts, [key], "_many", left.count()).withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_many")
+    copies = right.join(counts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_many")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
