@@ -172,16 +172,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of ``edges`` (u, v) with the least node it reaches.
 
     Large-star and small-star steps take turns until nothing changes; a step
-    keeps only each neighbourhood's least node, found by partial aggregation.
+    keeps only each neighbourhood's least node, found by partial aggregation,
+    and sends it to the neighbours by ``hot_join``: the root of a large
+    component is a neighbour of all its nodes.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = cut(hot_join(both, least, ["u"], "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, ["u"], "n", state[0])
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
         now = _state(edges)
@@ -205,8 +207,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = links(classes.select("fp"), most)
     roots = components(pairs)
     labelled = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(labelled.join(ids, "root").select("fp", "members", "component_id"))
+    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps"))
+    named = cut(hot_join(labelled, ids, ["root"], "fps", labelled.count()).select("fp", "members", "component_id"))
     return hot_join(rows, named, ["fp"], "members", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
