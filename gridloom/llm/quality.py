@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+from .common import cut
 
 #: Labelled rows that the trees are fitted on at most (those of least hash).
 MOST_LABELLED = 20_000
@@ -36,10 +39,9 @@ _CLASSES = {
     "bracket": _mask(b"()[]{}"), "quote": _mask(b"\"'`"), "lead": _mask(bytes(range(0xC2, 0xF5))), "control": _mask(bytes([*range(9), *range(14, 32), 127])),
 }
 _MASKS = np.stack(list(_CLASSES.values()), axis=1)
-_PAIRS = ("upper", "lead")
 NAMES = [*_CLASSES, "log_words", "mean_word", "dev_word", "long_words", "short_words", "distinct", "top_word", "top_pair", "repeat_next", "dup_lines", "mean_line", "odd_ends", "caps_words", "log_lines", "entropy", "stopped_lines"]
-#: Distinct words, pairs and lines that are counted at once; beyond it the counts restart.
-_COUNTED = 500_000
+#: Words, pairs and lines whose counts are held apart before they are added up.
+_HELD = 1 << 18
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -52,16 +54,45 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
+class _Tally:
+    """Counts of many different things by their 64-bit hashes, 16 bytes each."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, counts: dict[bytes, int]) -> None:
+        self.held.append((np.fromiter(map(xxh3_64_intdigest, counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))))
+        self.size += len(counts)
+        if self.size > max(_HELD, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> None:
+        keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self.held)]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, *(c for _, c in self.held)]), len(keys)).astype(np.int64)
+        self.keys, self.held, self.size = keys, [], 0
+
+    def shape(self) -> tuple[int, int]:
+        """How many different things there are, and the largest count."""
+        self.settle()
+        return len(self.keys), int(self.counts.max(initial=0))
+
+
 def statistics(text: bytes) -> list[float]:
     """The statistics of one whole UTF-8 text, in the order of NAMES.
 
-    A long text is read in pieces of about 1 MB; the shares that need counts
-    of distinct words are means over pieces, so memory stays bounded.
+    A long text is read in pieces of about 1 MB.  All counts go over the whole
+    text: those of different words, pairs and lines are added up over the
+    pieces by hash, so the size of a piece changes no statistic.
     """
     hist = np.zeros(256, np.int64)
     n = sums = squares = long = short = odd = caps = repeat = 0
-    shares = np.zeros(4)
-    pieces = lines = dup_lines = stopped = 0
+    lines = stopped = 0
+    one = len(text) <= _PIECE
+    seen, pairs, rows_seen = _Tally(), _Tally(), _Tally()
+    single: list[tuple[int, int]] = [(0, 0)] * 3
+    last: list[bytes] = []
     for part in _pieces(text):
         hist += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         words = part.split()
@@ -75,25 +106,48 @@ def statistics(text: bytes) -> list[float]:
         short += int((sizes <= 2).sum())
         caps += sum(map(bytes.isupper, words))
         odd += sum(w[-1] in b"#$%&*|!" for w in words)
-        seen = Counter(words)
-        pairs = Counter(zip(words, words[1:], strict=False))
-        repeat += sum(map(bytes.__eq__, words, words[1:]))
-        rows = [x for x in part.split(b"\n") if x.strip()]
-        lines += len(rows)
-        dup_lines += len(rows) - len(set(rows))
-        stopped += sum(x.rstrip()[-1:] in (b".", b"?", b"!", b'"') for x in rows)
-        shares += np.array([len(seen) / len(words), max(seen.values()) / len(words), max(pairs.values(), default=0) / len(words), 1.0]) * len(words)
-        pieces += 1
+        chained = last + words
+        repeat += sum(map(bytes.__eq__, chained, chained[1:]))
+        counts, next_ = Counter(words), Counter(zip(chained, chained[1:], strict=False))
+        if one:
+            single[:2] = [(len(c), max(c.values(), default=0)) for c in (counts, next_)]
+        else:
+            seen.add(counts)
+            pairs.add({b" ".join(k): v for k, v in next_.items()})
+        last = words[-1:]
+    held: Counter = Counter()
+    for row in text.split(b"\n") if one else _rows(text):
+        if row.strip():
+            lines += 1
+            stopped += row.rstrip()[-1:] in (b".", b"?", b"!", b'"')
+            held[row if one or len(row) <= 64 else row[:64] + xxh3_128_digest(row)] += 1
+            if not one and len(held) >= _HELD:
+                rows_seen.add(held)
+                held = Counter()
+    if one:
+        (words_kinds, top_word), (_, top_pair), row_kinds = *single[:2], len(held)
+    else:
+        rows_seen.add(held)
+        (words_kinds, top_word), (_, top_pair), (row_kinds, _) = seen.shape(), pairs.shape(), rows_seen.shape()
     total = max(1, int(hist.sum()))
     m = max(1, n)
     mean = sums / m
     p = hist[hist > 0] / total
     return [
-        *(hist @ _MASKS / total), math.log1p(n), mean, math.sqrt(max(0.0, squares / m - mean * mean)), long / m, short / m, shares[0] / m, shares[1] / m, shares[2] / m,
-        repeat / m, dup_lines / max(1, lines), math.log1p(total / max(1, lines)), odd / m, caps / m, math.log1p(lines), float(-(p * np.log2(p)).sum()), stopped / max(1, lines),
+        *(hist @ _MASKS / total), math.log1p(n), mean, math.sqrt(max(0.0, squares / m - mean * mean)), long / m, short / m, words_kinds / m, top_word / m, top_pair / m,
+        repeat / m, (lines - row_kinds) / max(1, lines), math.log1p(total / max(1, lines)), odd / m, caps / m, math.log1p(lines), float(-(p * np.log2(p)).sum()), stopped / max(1, lines),
     ]
 
 
+def _rows(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while at <= len(text):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
+
+
 def features(texts: list[bytes]) -> np.ndarray:
     return np.array([statistics(x) for x in texts], np.float64).reshape(len(texts), len(NAMES))
 
@@ -203,10 +257,12 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, y) of at most ``most`` labelled documents outside fold ``held``.
+    """(_id, text, y) of at most ``most`` labelled rows outside fold ``held``.
 
-    The sample is those of least hash of the id, so it doesn't depend on the
-    order of rows; being bounded, its ids are broadcast to the documents.
+    The sample is the rows of least hash of the id, then of the text, so it
+    doesn't depend on the order of rows; equal rows count once.  Being bounded,
+    its ids and hashes are broadcast to the documents, which is done without
+    their texts first.
     """
     some = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held))
@@ -215,7 +271,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
         .orderBy(F.xxhash64("_lid"), "_lid")
         .limit(most)
     )
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), F.col("_id") == F.col("_lid")).select("_id", "text", "y")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    hashed = rows.join(F.broadcast(some), F.col("_id") == F.col("_lid")).select("_id", "y", F.xxhash64("text").alias("_th"))
+    # cut: rows that are read again must be the same ones
+    kept = cut(hashed.distinct().orderBy(F.xxhash64("_id"), "_id", "_th").limit(most)).select(F.col("_id").alias("_lid"), "y", F.col("_th").alias("_lth"))
+    found = rows.join(F.broadcast(kept), (F.col("_id") == F.col("_lid")) & (F.xxhash64("text") == F.col("_lth")))
+    return found.groupBy("_id", "_lth", "y").agg(F.first("text").alias("text")).select("_id", "text", "y")
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -229,9 +290,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     rows = labelled(docs, labels, label, parts, held, most, doc_id, text).mapInArrow(run, "id string, y int, x array<double>").toArrow()
-    order = np.argsort(np.array(rows.column("id").to_pylist(), dtype=object), kind="stable") if rows.num_rows else np.zeros(0, int)
-    x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, len(NAMES))[order]
-    return fit(x, np.array(rows.column("y").to_pylist(), float)[order])
+    return fit(*ordered(rows, len(NAMES)))
+
+
+def ordered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of ``rows`` (id, y, x) in the order of id and features, which reruns share."""
+    ids, x, y = (rows.column(c).to_pylist() for c in ("id", "x", "y"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], x[i]))
+    return np.array([x[i] for i in order], float).reshape(len(ids), width), np.array([y[i] for i in order], float)
 
 
 def scored(docs: DataFrame, forest: Forest, columns: list[str], text: str = "text") -> DataFrame:
