@@ -1,7 +1,11 @@
-"""Near-dedup by similarity of word shingles.
-
-MinHash signatures in bands propose pairs, the shingle sets of both texts are
-compared exactly, and connected documents are a group.
+"""SimHash near-dedup as a pipeline stage: groups of texts whose word shingles
+are 0.8 alike.
+
+SimHash with pigeonring filtering (``simhash.links``) proposes the pairs within
+its few bits, without loss.  At a similarity of 0.8 about ten of 64 bits differ,
+which no ring of segments can look up, so bands of least hashes of the same
+shingles propose those pairs.  All proposals are compared by their exact
+shingle sets, and connected documents are a group.
 """
 
 from __future__ import annotations
@@ -11,17 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .simhash import _hashes, components, keep_rows, keyed
+from .common import cut, hot_join, salted_join
+from .simhash import _BITS, MOST_BITS, _hashes, components, keep_rows, keyed, links
 
 SHINGLE_WORDS = 5
 LEAST_ALIKE = 0.8
 #: At similarity 0.8 a pair shares some band with probability 0.9997.
 BANDS, BAND_ROWS = 20, 5
-#: Members of a band's bucket up to which all pairs are compared; in larger
-#: ones each is compared with the first and the ones just before it.
+#: Members of a band's bucket up to which all pairs are compared.
 BUCKET = 16
-BEFORE = 3
+#: In larger buckets each member is compared with the member of most company
+#: (which edited copies of one text share), the least one and some drawn ones.
+DRAWN = 3
+#: Members of a larger bucket among which those are drawn.
+CROWD = 1000
 _PIECE = 4096
 _draw = np.random.default_rng(11)
 _FACTORS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,33 +64,80 @@ def alike(a: bytes, b: bytes, k: int = SHINGLE_WORDS) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of distinct shingles; zero without any."""
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 18):
+        bits = hashes[lo : lo + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        votes += np.concatenate([np.bincount(bits[:, p], minlength=256) @ _BITS for p in range(8)])
+    return int(((votes * 2 > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _node():
     return F.conv(F.substring(F.hex("_key.sha"), 1, 15), 16, 10).cast("long")
 
 
-def drop_alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
+def signatures(texts: DataFrame, k: int) -> DataFrame:
+    """node, fp (SimHash) and keys (a key for each band) of ``texts`` (node, text)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(x or b"", k) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            keys = np.concatenate([bands_of(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), lists], names=["node", "fp", "keys"])
+
+    return texts.mapInArrow(run, "node long, fp long, keys array<long>")
+
+
+def banded(signed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that share a band's bucket.
+
+    Small buckets give all pairs.  A bucket that holds more than a thousandth
+    of the rows is never sorted in one task: its members meet the broadcast
+    hub, and the drawn pairs come from crowds of bounded size.
+    """
+    places = signed.select("node", F.posexplode("keys").alias("band", "key"))
+    total = signed.count()
+    counts = cut(places.groupBy("band", "key").agg(F.count("*").alias("n")).filter(f"n > {max(10_000, total // 1000)}"))
+    hot = places.join(F.broadcast(counts), ["band", "key"])
+    cold = places.join(F.broadcast(counts.select("band", "key")), ["band", "key"], "left_anti")
+    bucket = Window.partitionBy("band", "key")
+    near = F.collect_list("node").over(bucket.orderBy("node").rowsBetween(-(BUCKET - 1), -1))
+    placed = cut(cold.withColumn("n", F.count("*").over(bucket)).withColumn("near", F.when(F.col("n") <= BUCKET, near)).filter("n > 1"))
+    pairs = placed.filter(f"n <= {BUCKET}").select(F.explode("near").alias("u"), F.col("node").alias("v"))
+    large = cut(placed.filter(f"n > {BUCKET}").select("band", "key", "node", "n").unionByName(hot.select("band", "key", "node", "n")))
+    if large.isEmpty():
+        return pairs.distinct()
+    company = large.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = large.join(company, "node")
+    hubs = ranked.groupBy("band", "key").agg(F.count("*").alias("size"), F.max_by("node", F.struct("company", -F.col("node"))).alias("hub"), F.min("node").alias("least"))
+    to_hubs = hot_join(large, cut(hubs), ["band", "key"], "size", large.count()).select(F.explode(F.array("hub", "least")).alias("u"), F.col("node").alias("v"))
+    crowd = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / CROWD))
+    draw = Window.partitionBy("band", "key", "crowd").orderBy(F.xxhash64("node", "band"), "node").rowsBetween(-DRAWN, -1)
+    drawn = large.withColumn("crowd", crowd).withColumn("us", F.collect_list("node").over(draw)).select(F.explode("us").alias("u"), F.col("node").alias("v"))
+    return pairs.unionByName(to_hubs).unionByName(drawn).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def simhash_pairs(signed: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of nodes: those of one fingerprint with their least, and the
+    least of fingerprints that differ in at most ``most`` bits."""
+    classes = cut(signed.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    own = hot_join(signed.select("node", "fp"), classes.filter("n > 1"), ["fp"], "n", signed.count()).filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    first = classes.select("fp", "first")
+    found = links(classes.select("fp"), most).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v")
+    return own.unionByName(found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, least: float = LEAST_ALIKE, most: int = MOST_BITS) -> DataFrame:
     """``docs`` with one document of each group of texts whose sets of k-word
     shingles are at least ``least`` alike (intersection over union), linked
     over others too: that with the smallest id (null ids last, then by
-    SHA-256); columns unchanged."""
+    SHA-256); columns unchanged.  Texts without words are alike."""
     rows = keyed(docs, doc_id, text).withColumn("_node", _node())
-
-    def band(batches):
-        for b in batches:
-            nodes = np.asarray(b.column(0))
-            keys = [bands_of(shingles(x or b"", k)) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            n = len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.concatenate(keys) if n else np.zeros(0, np.int64))], names=["node", "band", "key"])
-
-    places = rows.select("_node", "_text").mapInArrow(band, "node long, band int, key long")
-    order = Window.partitionBy("band", "key").orderBy("node")
-    around = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = F.collect_list("node").over(order.rowsBetween(-(BUCKET - 1), -1))
-    nth = F.row_number().over(order)
-    placed = places.select("node", F.min("node").over(around).alias("first"), near.alias("near"), nth.alias("nth"))
-    others = F.when(F.col("nth") <= BUCKET, F.col("near")).otherwise(F.concat(F.array("first"), F.slice("near", -BEFORE, BEFORE)))
-    pairs = placed.filter("nth > 1").select(F.explode(others).alias("u"), F.col("node").alias("v")).filter("u <> v").distinct()
-    pairs = cut(pairs)
+    texts = rows.select(F.col("_node").alias("node"), F.col("_text").alias("text")).dropDuplicates(["node"])
+    signed = cut(signatures(texts, k))
+    pairs = cut(banded(signed).unionByName(simhash_pairs(signed, most)).distinct())
 
     def compare(batches):
         for b in batches:
@@ -91,8 +145,7 @@ def drop_alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             good = pa.array([alike(p or b"", q or b"", k) >= least for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(good)
 
-    texts = rows.select("_node", "_text").dropDuplicates(["_node"])
-    sided = pairs.join(texts.select(F.col("_node").alias("u"), F.col("_text").alias("x")), "u").join(texts.select(F.col("_node").alias("v"), F.col("_text").alias("y")), "v")
+    sided = salted_join(pairs, texts.toDF("u", "x"), "u", F.col("v")).join(texts.toDF("v", "y"), "v")
     roots = components(sided.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"))
     keys = rows.select("_node", "_key").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     return keep_rows(rows.drop("_node"), keys.groupBy("root").agg(F.min("_key").alias("_kept")).select("_kept"))
