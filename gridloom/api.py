@@ -26,25 +26,29 @@ def _is_url(source: object) -> bool:
     return urlsplit(str(source)).scheme.lower() in ("http", "https")
 
 
+def kind_of(sources: Sequence, source_type: str = "auto") -> str:
+    """``html`` or ``pdf``: what was asked for, or what all of the sources are."""
+    if not sources:
+        raise ValueError("give at least one source")
+    if source_type == "auto":
+        if all(map(_is_url, sources)):
+            return "html"
+        if all(Path(str(s)).suffix.casefold() == ".pdf" and not _is_url(s) for s in sources):
+            return "pdf"
+        raise ValueError("sources must be all URLs or all PDF files, or have a source_type")
+    if source_type not in ("html", "pdf"):
+        raise ValueError(f"there is no source_type {source_type!r}")
+    return source_type
+
+
 def extract_corpus(
     spark: SparkSession, sources, output_directory: str | Path, *, source_type: str = "auto", max_pdf_files: int = 10, max_pdf_file_bytes: int = 50_000_000, max_url_pages: int = 20,
     url_timeout_seconds: float = 20.0, max_url_page_bytes: int = 5_000_000, progress: Progress | None = None,
 ) -> corpus.SavedCorpus:
     """Reads PDF files or web pages and saves their corpus."""
     given = [s for s in (sources if isinstance(sources, list | tuple) else [sources]) if s is not None and str(s).strip()]
-    if not given:
-        raise ValueError("give at least one source")
-    if source_type == "auto":
-        if all(map(_is_url, given)):
-            source_type = "html"
-        elif all(Path(str(s)).suffix.casefold() == ".pdf" and not _is_url(s) for s in given):
-            source_type = "pdf"
-        else:
-            raise ValueError("sources must be all URLs or all PDF files, or have a source_type")
-    if source_type == "pdf":
+    if kind_of(given, source_type) == "pdf":
         return pdf.prepare_pdf_corpus(spark, given, output_directory, max_pdf_files, max_pdf_file_bytes, progress)
-    if source_type != "html":
-        raise ValueError(f"there is no source_type {source_type!r}")
     found = urls.parse_url_list("\n".join(map(str, given)), max_url_pages)
     return web_corpus(spark, urls.fetch(found, url_timeout_seconds, max_url_page_bytes, progress), output_directory, urls.url_request_key(found))
 

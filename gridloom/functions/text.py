@@ -30,10 +30,6 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " "))
 
 
-def clean_value(c: Column) -> Column:
-    """``clean`` of a number or truth value, of which zero and false are empty."""
-    return F.when(c.cast("double") == 0, F.lit("")).otherwise(clean(c))
-
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
@@ -79,13 +75,6 @@ def render_block(type_: Column, text: Column, path: Column, caption: Column, hea
     return F.when(type_ == "table", table).otherwise(plain)
 
 
-def join_wrapped(lines: Column) -> Column:
-    """Joins wrapped lines by a space; a hyphen at a line's end is dropped and its word closed up."""
-    return F.aggregate(lines, F.lit(""), lambda acc, x: F.when(acc == "", x).when(acc.endswith("-"), F.concat(F.left(acc, F.length(acc) - 1), x)).otherwise(F.concat(acc, F.lit(" "), x)))
-
-
-def positive_span(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.coalesce(c.try_cast("int"), F.lit(1)))
 
 
 def fold(c: Column) -> Column:
@@ -94,39 +83,3 @@ def fold(c: Column) -> Column:
     plain = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyOoUuAaAaAaCcCcDdEeEeEeGgIi\0\0NnNnOoRrRrSsSsSsTtUuUuZzZzZz"
     ascii_ = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), marked, plain), r"[^\x01-\x7f]|\x00", "")
     return F.array_join(F.regexp_extract_all(F.lower(ascii_), F.lit("[a-z0-9]+"), F.lit(0)), " ")
-
-
-def version_code(c: Column, fallback: Column) -> Column:
-    code = F.upper(F.replace(fold(c), F.lit(" "), F.lit("_")))
-    return F.coalesce(F.nullif(code, F.lit("")), fallback)
-
-
-def first_number(c: Column) -> Column:
-    """The first number, with comma or point; null if there is none."""
-    return F.replace(F.nullif(F.regexp_extract(c, r"-?[0-9]+(?:[.,][0-9]+)?", 0), F.lit("")), F.lit(","), F.lit(".")).cast("double")
-
-
-def compact_numbers(c: Column) -> Column:
-    """Closes up digits in groups of three that aren't part of a word."""
-    # each separator goes that stands between the groups of one grouped number
-    number = r"(?<![\p{L}\p{N}_])\p{Nd}{1,3}(?:[\s ]\p{Nd}{3})+(?![\p{L}\p{N}_])"
-    parts = F.split(c, rf"(?={number})")
-    joined = F.transform(parts, lambda p: F.when(p.rlike(rf"^{number}"), F.concat(F.regexp_replace(F.regexp_extract(p, rf"^{number}", 0), r"[\s ]", ""), F.regexp_replace(p, rf"^{number}", ""))).otherwise(p))
-    return F.array_join(joined, "")
-
-
-def looks_like_value(c: Column) -> Column:
-    """At most six words, beginning with a digit or a currency sign and holding a digit."""
-    return (F.size(F.split(F.trim(c), r"\s+")) <= 6) & c.rlike(r"[0-9]") & F.trim(c).rlike(r"^[0-9$£¥€]")
-
-
-def cell_status(c: Column) -> Column:
-    """STANDARD, NOT_AVAILABLE or OPTION with the cell's first number."""
-    v = F.trim(F.coalesce(c, F.lit("")))
-    status = F.when(v.isin("•", "●", "·"), "STANDARD").when((v.isin("", "-", "–")) | (fold(v) == "nem elerheto"), "NOT_AVAILABLE").otherwise("OPTION")
-    return F.struct(status.alias("status"), F.when(status == "OPTION", F.coalesce(first_number(v), F.lit(0.0))).otherwise(F.lit(0.0)).alias("priceGross"))
-
-
-def engine_kind(c: Column) -> Column:
-    f = fold(c)
-    return F.when(f.contains("plug in"), "PHEV").when(f.contains("dizel"), "DIESEL").otherwise("HYBRID")

@@ -46,15 +46,26 @@ def normalise_tables(df: DataFrame) -> DataFrame:
     )
 
 
-def normalise_texts(df: DataFrame) -> DataFrame:
-    return df.withColumns({"text": t.clean(F.col("text")), "source_name": t.clean(F.col("source_name")), "heading_path": t.clean_path(F.col("heading_path"))})
+def normalise(df: DataFrame) -> DataFrame:
+    """Block rows with tables as ``normalise_tables`` makes them and texts
+    cleaned, in one pass over ``df``."""
+    table = F.col("type") == "table"
+    done = normalise_tables(df.withColumn("_raw", F.struct("headers", "rows", "caption")))
+    own = {c: F.when(table, F.col(c)).otherwise(F.col(f"_raw.{c}")) for c in ("headers", "rows", "caption")}
+    return done.withColumns({**own, "text": F.when(table, F.col("text")).otherwise(t.clean(F.col("text")))}).drop("_raw")
 
 
 def associate_headings(blocks: DataFrame) -> DataFrame:
-    """A table takes the heading right before it into its path, unless caption or path say it already."""
+    """A table takes the heading right before it into its path, unless caption or path say it already.
+
+    Blocks travel as one struct: whatever is taken of the result, the shuffle
+    is the same, so plans that use it twice share it.
+    """
     place = ["source_name", "source_url", "page"]
-    before = F.lag(F.struct("type", "text", "heading_path", *place)).over(Window.partitionBy("corpus_id").orderBy("block_pos"))
-    rows = blocks.withColumn("_before", before)
+    fields = [c for c in blocks.columns if c not in ("corpus_id", "block_pos")]
+    whole = blocks.select("corpus_id", "block_pos", F.struct(*fields).alias("_block"))
+    before = F.lag("_block").over(Window.partitionBy("corpus_id").orderBy("block_pos"))
+    rows = whole.withColumn("_before", before).select("corpus_id", "block_pos", "_block.*", "_before")
     heading = t.clean(F.col("_before.text"))
     parent = t.clean_path(F.col("_before.heading_path"))
     full, own = F.array_append(parent, heading), t.clean_path(F.col("heading_path"))

@@ -20,19 +20,6 @@ def check(size: int, overlap: int, least: int = 0, span: int = 1) -> None:
         raise ValueError("max_text_page_span must be greater than zero")
 
 
-def word_windows(text: Column, size: int, overlap: int) -> Column:
-    """array<struct<id, text, source_text>> of a text's windows of words."""
-    check(size, overlap)
-    step = size - overlap
-    n = t.word_count(text)
-    many = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int") + 1).otherwise(F.lit(0))
-    words, parts = t.tokens(text), t.pieces(text)
-    ids = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        ids, lambda k: F.struct(k.alias("id"), F.array_join(F.slice(words, k * step + 1, F.lit(size)), " ").alias("text"), t.strip(F.array_join(F.slice(parts, k * step + 1, F.lit(size)), "")).alias("source_text"))
-    )
-
-
 def chunk_words(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """One row per window of words: the other columns, then id, text and source_text.
 

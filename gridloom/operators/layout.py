@@ -8,6 +8,7 @@ page is handled whole, by one Arrow function; what is independent of the page
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +26,7 @@ from .geometry import LAYOUT as L
 
 Box = tuple[float, float, float, float]
 Line = tuple[float, str]
+_log = logging.getLogger(__name__)
 _GROUPED = re.compile(r"(?<!\w)\d{1,3}(?:[\s ]\d{3})+(?!\w)")
 _CODE = re.compile(r"[A-Z][A-Z0-9]{3,11}")
 _CODE_HEADS = frozenset(("code", "kod", "kód"))
@@ -128,7 +130,12 @@ def text_of(words: Words) -> str:
         else:
             columns.append([w])
     parts += [" ".join(w.text for w in sorted(c, key=lambda w: -w.top)) for c in columns]
-    return _GROUPED.sub(lambda m: re.sub(r"\s", "", m[0]), squeeze(" ".join(parts)))
+    return compact(squeeze(" ".join(parts)))
+
+
+def compact(text: str) -> str:
+    """Closes up digits in groups of three that aren't part of a word."""
+    return _GROUPED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
 
 
 def join_wrapped(lines: Iterable[str]) -> str:
@@ -576,7 +583,8 @@ def page_blocks(name: str, page: int, words: Words, tables: Sequence[Table] = ()
     for table in kept:
         try:
             found = reconstruct(table, words, boxes)
-        except Exception:
+        except Exception:  # a table of any shape must not cost the page
+            _log.warning("%s, page %s: table %s is read without its geometry", name, page, table.number, exc_info=True)
             cells = [[text_of(inside(words, c)) if c else "" for c in row] for row in table.rows]
             found = Found(*plain_table(fallback(table) if fallback else cells), flags={"fallback"})
         used |= found.used
@@ -653,4 +661,4 @@ def layout_blocks(words: DataFrame, tables: DataFrame, cells: DataFrame, images:
         F.col("doc").alias("corpus_id"), (F.row_number().over(order) - 1).cast("long").alias("block_pos"), "x.type", "x.text", F.col("doc").alias("source_name"), F.lit("").alias("source_url"), "page",
         F.array().cast("array<string>").alias("heading_path"), "x.table_id", "x.caption", "x.headers", "x.rows", "x.bbox",
     )
-    return b.normalise_texts(rows.filter("type <> 'table'")).select(*BLOCK.names).unionByName(b.normalise_tables(rows.filter("type = 'table'")).select(*BLOCK.names))
+    return b.normalise(rows).select(*BLOCK.names)

@@ -1,6 +1,6 @@
 """Linked model-year documents: versions, and options with a status for each
-version by its place.  A document is small, so it is built on the driver; the
-rows that it is read from are found by Spark (see ``coded_rows``)."""
+version by its place.  A document is small, so one task builds it from the
+blocks of its brochure; ``documents`` does so for all brochures of a table."""
 
 from __future__ import annotations
 
@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonschema
 from ..functions.text import fold as fold_column
+from ..schemas import BLOCK, MODEL_YEAR
 
 
 class ModelYearError(ValueError):
@@ -30,16 +31,6 @@ def fold(value: object) -> str:
     return " ".join(re.findall("[a-z0-9]+", plain))
 
 
-def fold_exact(c: Column) -> Column:
-    """``fold`` for any script; ``functions.text.fold`` stays in the JVM, for Latin letters."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fold)
-
-    return run(c)
-
-
 # linking ----------------------------------------------------------------------
 
 
@@ -131,6 +122,29 @@ def link(document: Mapping, version_codes_: Sequence[str] | None = None) -> dict
     return linked
 
 
+def typed(spark: SparkSession, documents: Sequence[Mapping]) -> DataFrame:
+    """Documents as rows of ``schemas.MODEL_YEAR``."""
+    texts = spark.createDataFrame([(json.dumps(d),) for d in documents], "j string")
+    return texts.select(F.from_json("j", MODEL_YEAR).alias("d")).select("d.*")
+
+
+def documents(blocks: DataFrame, profile: str = "auto", names: Sequence[str] = BLOCK.names) -> DataFrame:
+    """(corpus_id, document, error) of the brochures in ``blocks``, a row per
+    corpus: a brochure is built by the task that has its blocks, and one that
+    has no supported layout gives the reason instead of a document."""
+
+    def one(key, t):
+        rows = sorted(t.select([n for n in names if n != "corpus_id"]).to_pylist(), key=lambda r: r["block_pos"])
+        try:
+            made, error = json.dumps(build(rows, None, profile), ensure_ascii=False), None
+        except (ModelYearError, ValueError) as e:
+            made, error = None, str(e)
+        return pa.table({"corpus_id": [key[0].as_py()], "j": pa.array([made], pa.string()), "error": pa.array([error], pa.string())})
+
+    built = blocks.select(*names).groupBy("corpus_id").applyInArrow(one, "corpus_id string, j string, error string")
+    return built.select("corpus_id", F.from_json("j", MODEL_YEAR).alias("document"), "error")
+
+
 def status_rows(documents: DataFrame) -> DataFrame:
     """(name, option, position, version_code, status, price) of typed documents:
     each option's statuses beside the versions of their place."""

@@ -3,15 +3,24 @@ the same rows."""
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import api
+from ..functions import jsonschema, sql
 from ..functions import text as t
 from ..operators import blocks as b
-from ..operators import chunking, geometry
-from ..sources import corpus, html, urls
+from ..operators import chunking, geometry, layout, model_year
+from ..schemas import BLOCK_JSON, PDF_BOX, PDF_CELL, PDF_TABLE, PDF_WORD
+from ..sources import corpus, html, pdf, urls
+from ..streaming import chunks as streaming
+from . import fixtures
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 _WORD = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*"
@@ -83,10 +92,25 @@ def chunk_words_30_10(spark, d):
     return chunking.chunk_words(read(spark, d, "documents").select("doc_id", "text"), "text", 30, 10)
 
 
-@query("SELECT doc_id, ltrim(string_agg(regexp_replace(line, '-$', ''), ' ' ORDER BY pos), ' ') AS joined FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) GROUP BY doc_id")
+def _mapped(rows: DataFrame, f: Callable, columns: list[str], out: dict[str, str]) -> DataFrame:
+    """``columns`` beside what ``f`` gives for the last column of ``rows``, as columns ``out``."""
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns] + [f"{n} {k}" for n, k in out.items()]
+
+    def run(batches):
+        for batch in batches:
+            made = [f(x) for x in batch.column(len(columns)).to_pylist()]
+            found = [pa.array([m[i] for m in made], pa.float64() if k == "double" else pa.string()) for i, k in enumerate(out.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *found], names=[*columns, *out])
+
+    return rows.toDF(*columns, "_input").mapInArrow(run, ", ".join(kinds))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
+SELECT doc_id, replace(ltrim(replace(string_agg(line, chr(1) ORDER BY pos), '-' || chr(1), ''), chr(1)), chr(1), ' ') AS joined FROM l GROUP BY doc_id""")
 def join_wrapped_lines(spark, d):
-    lines = F.split("text", "\n", -1)
-    return read(spark, d, "documents").select("doc_id", t.join_wrapped(F.transform(lines, lambda x: F.regexp_replace(x, "-$", ""))).alias("joined"))
+    rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n", -1))
+    return _mapped(rows, lambda lines: (layout.join_wrapped(lines or ()),), ["doc_id"], {"joined": "string"})
 
 
 # rows and blocks ------------------------------------------------------------
@@ -239,16 +263,18 @@ def pack_rows(spark, d):
     return chunks.select("corpus_id", F.col("id").cast("int").alias("id"), "row_start", "row_end", "source_text")
 
 
-@query(f"""
-WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1),
-g AS (SELECT l_orderkey, 2 AS c, 0 AS g, 1 AS n, 4 AS words FROM t
-  UNION ALL SELECT l_orderkey, c + 1, CASE WHEN words + 2 > 6 THEN g + 1 ELSE g END, CASE WHEN words + 2 > 6 THEN 1 ELSE n + 1 END, CASE WHEN words + 2 > 6 THEN 4 ELSE words + 2 END FROM g WHERE c < 6)
-SELECT l_orderkey, g::INTEGER AS grp, '1,' || string_agg(c::VARCHAR, ',' ORDER BY c) AS cols FROM g GROUP BY l_orderkey, g""")
+@query("""
+WITH RECURSIVE t AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL),
+g AS (SELECT l_orderkey, l_linenumber, n, 2 AS c, 0 AS g, 4 AS words FROM t
+  UNION ALL SELECT l_orderkey, l_linenumber, n, c + 1, CASE WHEN words + 2 > 6 THEN g + 1 ELSE g END, CASE WHEN words + 2 > 6 THEN 4 ELSE words + 2 END FROM g WHERE c < 6)
+SELECT l_orderkey, l_linenumber, n AS lines, g::INTEGER AS grp, '1,' || string_agg(c::VARCHAR, ',' ORDER BY c) AS cols FROM g GROUP BY l_orderkey, l_linenumber, n, g""")
 def column_groups(spark, d):
-    rows = read(spark, d, "lineitem").filter("l_linenumber = 1").dropDuplicates(["l_orderkey"])
     names = {"Key": "l_orderkey", "Part": "l_partkey", "Flag": "l_returnflag", "Status": "l_linestatus", "Supplier": "l_suppkey", "Line": "l_linenumber"}
-    found = chunking.column_groups(F.array(*map(F.lit, names)), F.array(F.array(*[F.col(c).cast("string") for c in names.values()])), F.lit(0), 6)
-    return rows.select("l_orderkey", F.posexplode(found).alias("grp", "cols")).select("l_orderkey", "grp", F.array_join(F.transform("cols", lambda c: c.cast("string")), ",").alias("cols"))
+    cells = F.array(*[F.col(c).cast("string") for c in names.values()])
+    tables = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.collect_list(cells).alias("rows"))
+    found = chunking.column_groups(F.array(*map(F.lit, names)), F.col("rows"), F.lit(0), 6)
+    rows = tables.select("l_orderkey", "l_linenumber", F.size("rows").cast("long").alias("lines"), F.posexplode(found).alias("grp", "cols"))
+    return rows.withColumn("cols", F.array_join(F.transform("cols", lambda c: c.cast("string")), ","))
 
 
 _GROUPS_FOR = f"""
@@ -287,10 +313,23 @@ def page_provenance(spark, d):
     return found.select("corpus_id", F.col("_pos").alias("first_turn"), F.col("_local").alias("local_id"), "page", F.coalesce(F.size("pages"), F.lit(1)).cast("long").alias("n_pages"))
 
 
-@query(f"SELECT source, string_agg({_clean_sql('text')}, chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source")
+@query(f"""
+SELECT conv_id::VARCHAR AS corpus_id, coalesce(string_agg(NULLIF(x, ''), chr(10) || chr(10) ORDER BY turn), '') || chr(10) AS text, len(coalesce(string_agg(NULLIF(x, ''), chr(10) || chr(10) ORDER BY turn), ''))::INTEGER AS characters
+FROM (SELECT conv_id, turn, {_clean_sql('text')} AS x FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (WHERE x <> '') > 0""")
 def ordered_corpus_text(spark, d):
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", t.clean(F.col("text")).alias("x"))))
-    return read(spark, d, "documents").groupBy("source").agg(F.concat(F.array_join(F.transform(parts, lambda p: p["x"]), "\n\n"), F.lit("\n")).alias("text"))
+    return corpus.readable(_plain(spark, d))
+
+
+@query(f"SELECT conv_id::VARCHAR AS corpus_id, turn AS block_pos FROM conversations WHERE {_clean_sql('text')} <> ''")
+def usable_blocks(spark, d):
+    return b.usable(_plain(spark, d)).select("corpus_id", "block_pos")
+
+
+@query(f"SELECT doc_id AS block_pos, {_clean_sql('text')} AS text, {_clean_sql('source')} AS source_name, {_clean_sql('lang')} AS path FROM documents")
+def text_blocks(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("block_pos"), F.lit("paragraph").alias("type"), "text", F.concat(F.lit(" "), "source", F.lit("\t")).alias("source_name"), F.array(F.lit(" "), F.concat("lang", F.lit("  "))).alias("heading_path"))
+    none = {c: F.lit(None).cast(k) for c, k in (("headers", "array<string>"), ("rows", "array<array<string>>"), ("caption", "string"))}
+    return b.normalise(docs.withColumns(none)).select("block_pos", "text", "source_name", F.array_join("heading_path", " > ").alias("path"))
 
 
 # sources --------------------------------------------------------------------
@@ -301,9 +340,9 @@ def valid_urls(spark, d):
     return read(spark, d, "pages").select("page_id", "url", urls.is_valid(F.col("url")).alias("valid"), urls.host(F.col("url")).alias("host"))
 
 
-@query("SELECT lower(regexp_extract(url, '(?i)^https?://([^/?#:]*)', 1)) AS host, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
-def distinct_hosts(spark, d):
-    return read(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"))
+@query("SELECT url, min(page_id) AS page_id, lower(regexp_extract(url, '(?i)^https?://([^/?#:]*)', 1)) AS host FROM pages GROUP BY url")
+def distinct_urls(spark, d):
+    return urls.distinct_urls(read(spark, d, "pages"), "page_id").select("url", "page_id", urls.host(F.col("url")).alias("host"))
 
 
 @query("SELECT (page_id // 10)::BIGINT AS list, substr(sha256('[' || string_agg('\"' || url || '\"', ',' ORDER BY page_id) || ']'), 1, 16) AS request_key FROM pages GROUP BY 1")
@@ -337,26 +376,107 @@ def html_h1(spark, d):
     return html.parse_pages(read(spark, d, "pages")).select("page_id", F.coalesce(F.try_element_at(F.transform(heads, lambda x: x["text"]), F.when(F.col("title") != "", 2).otherwise(1)), F.lit("")).alias("h1"))
 
 
-@query()
+def _html_sql() -> str:
+    """Blocks of the driver's pages: a paragraph that isn't closed before the next one holds all that follows in its article."""
+    between = lambda tag: _clean_sql(_ENTITIES.format(f"regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"))
+    bare = _ENTITIES.format("regexp_replace(raw, '<[^>]*>', ' ', 'g')")
+    return f"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, {between('title')} AS title, {between('h1')} AS h1, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages),
+p AS (SELECT page_id, parts, unnest(range(2, len(parts) + 1)) AS o FROM a),
+x AS (SELECT page_id, o, CASE WHEN contains(parts[o], '</p>') THEN string_split(parts[o], '</p>')[1] ELSE array_to_string(parts[o:], ' ') END AS raw FROM p),
+u AS (SELECT page_id, 0 AS o, 'heading' AS type, title AS text, false AS under FROM a UNION ALL SELECT page_id, 1, 'heading', h1, false FROM a UNION ALL SELECT page_id, o, 'paragraph', {_clean_sql(bare)}, true FROM x),
+b AS (SELECT page_id::VARCHAR AS corpus_id, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::BIGINT AS block_pos, o, type, text, CASE WHEN under THEN h1 ELSE '' END AS path, CASE WHEN title = '' THEN url ELSE title END AS source_name, url AS source_url, h1, title
+  FROM u JOIN a USING (page_id) WHERE text <> ''),
+s AS (SELECT *, CASE WHEN path = '' THEN text ELSE path || chr(10) || text END AS shown FROM b)"""
+
+
+@query(_html_sql() + " SELECT corpus_id, block_pos, type, text, source_name, source_url, path FROM b")
 def html_blocks(spark, d):
-    return html.html_blocks(read(spark, d, "pages"))
+    return html.html_blocks(read(spark, d, "pages")).select("corpus_id", "block_pos", "type", "text", "source_name", "source_url", F.array_join("heading_path", " > ").alias("path"))
 
 
-@query()
+@query(_html_sql() + " SELECT a.page_id, a.title, coalesce(string_agg(shown, chr(10) ORDER BY block_pos), '') AS text FROM a LEFT JOIN s ON s.corpus_id = a.page_id::VARCHAR GROUP BY a.page_id, a.title")
 def html_text(spark, d):
     return html.html_text(read(spark, d, "pages"))
 
 
-@query()
+_HTML_CHUNKS = f"""
+, g AS (SELECT corpus_id, source_name, source_url, h1, o = 0 AND h1 <> '' AS alone, min(block_pos) AS pos, string_agg(text, chr(10) || chr(10) ORDER BY block_pos) AS src FROM b GROUP BY ALL),
+w AS (SELECT *, regexp_extract_all(src, '{_WORD}') AS words, regexp_extract_all(src, '{_PIECE}') AS pieces FROM g),
+k AS (SELECT *, unnest(range(0, (greatest(0, ceil((len(words) - 450) / 390::DOUBLE)) + 1)::BIGINT)) AS k FROM w WHERE len(words) > 0)
+SELECT corpus_id, (row_number() OVER (PARTITION BY corpus_id ORDER BY pos, k) - 1)::BIGINT AS id, array_to_string(words[k * 390 + 1 : k * 390 + 450], ' ') AS text,
+       {_strip_sql("array_to_string(pieces[k * 390 + 1 : k * 390 + 450], '')")} AS source_text, 'text' AS block_type, NULLIF(source_name, '') AS source_name, NULLIF(source_url, '') AS source_url,
+       CASE WHEN NOT alone AND h1 <> '' AND k * 390 >= {_count_sql('h1')} THEN h1 END AS path FROM k"""
+
+
+@query(_html_sql() + _HTML_CHUNKS)
 def html_to_chunks(spark, d):
-    return chunking.chunk_blocks(html.html_blocks(read(spark, d, "pages")))
+    chunks = chunking.chunk_blocks(html.html_blocks(read(spark, d, "pages")))
+    return chunks.select("corpus_id", "id", "text", "source_text", "block_type", "source_name", "source_url", F.array_join("heading_path", " > ").alias("path"))
 
 
-@query()
+@query(_html_sql() + " SELECT corpus_id, string_agg(shown, chr(10) || chr(10) ORDER BY block_pos) || chr(10) AS text, len(string_agg(shown, chr(10) || chr(10) ORDER BY block_pos))::INTEGER AS characters FROM s GROUP BY corpus_id")
 def web_corpus_text(spark, d):
     return corpus.readable(html.html_blocks(read(spark, d, "pages")))
 
 
+@query(_windows_sql(30, 10).replace("SELECT doc_id, id", "SELECT doc_id, id"))
+def chunk_words_in_sql(spark, d):
+    sql.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("gridloom_documents")
+    return spark.sql("SELECT doc_id, w.* FROM gridloom_documents, LATERAL chunk_words(text, 30, 10) w")
+
+
+@query(f"SELECT doc_id, {_count_sql('text')}::BIGINT AS words, 'Language = ' || {_clean_sql('lang')} || '; Source = ' || {_clean_sql('source')} || '.' AS line FROM documents")
+def words_and_rows_in_sql(spark, d):
+    sql.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("gridloom_documents")
+    return spark.sql("SELECT doc_id, CAST(size(tokenize_words(text)) AS BIGINT) AS words, render_table_row(array('Language', 'Source', 'None'), array(lang, source, ' ')) AS line FROM gridloom_documents")
+
+
+# saved and streamed -----------------------------------------------------------
+
+
+@query(_SUPPLIER + " SELECT k::VARCHAR AS corpus_id, pack AS id, min(n)::INTEGER AS row_start, max(n)::INTEGER AS row_end, 'All suppliers' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS source_text FROM p GROUP BY k, pack")
+def streamed_chunks(spark, d):
+    """Whole corpora in two files, chunked as a stream in two batches and read back."""
+    with tempfile.TemporaryDirectory() as folder:
+        rows = _supplier_tables(spark, d)
+        for i in (0, 1):
+            rows.filter(F.col("corpus_id").cast("int") % 2 == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        streaming.stream_chunks(streaming.read_blocks(spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/state", size=30, overlap=0).awaitTermination()
+        found = spark.read.parquet(f"{folder}/out").select("corpus_id", F.col("id").cast("int").alias("id"), "row_start", "row_end", "source_text")
+        return spark.createDataFrame(found.collect(), found.schema)
+
+
+@query("SELECT (n_nationkey // 5)::BIGINT AS block_pos, n_name AS name, n_regionkey::VARCHAR AS region, 'nations' AS source_name FROM nation")
+def saved_corpus(spark, d):
+    """Saved as JSON, found again by its request and loaded."""
+    n = read(spark, d, "nation").withColumn("pos", F.expr("n_nationkey div 5"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array("n_name", F.col("n_regionkey").cast("string")).alias("r")))), lambda x: x["r"])
+    none = lambda kind: F.lit(None).cast(kind)
+    tables = n.groupBy("pos").agg(rows.alias("rows")).select(
+        F.lit("c").alias("corpus_id"), F.col("pos").alias("block_pos"), F.lit("table").alias("type"), none("string").alias("text"), F.lit("nations").alias("source_name"), F.lit("").alias("source_url"), none("int").alias("page"),
+        F.array().cast("array<string>").alias("heading_path"), F.lit("t").alias("table_id"), F.lit("").alias("caption"), F.array(F.lit("Name"), F.lit("Region")).alias("headers"), "rows", none("array<double>").alias("bbox"),
+    )
+    with tempfile.TemporaryDirectory() as folder:
+        corpus.save_pointer(folder, corpus.save_corpus(tables, [{"kind": "table"}], folder, "request"))
+        loaded = corpus.load_blocks(spark, corpus.cached(folder, "request").blocks_path)
+        found = loaded.select("block_pos", F.explode("rows").alias("r"), "source_name").select("block_pos", F.col("r")[0].alias("name"), F.col("r")[1].alias("region"), "source_name")
+        return spark.createDataFrame(found.collect(), found.schema)
+
+
+@query(_SUPPLIER + " SELECT pack AS id, min(n)::INTEGER AS row_start, max(n)::INTEGER AS row_end FROM p WHERE k = (SELECT min(s_nationkey) FROM supplier) GROUP BY pack")
+def chunks_file(spark, d):
+    """One corpus chunked to a JSON file and read back."""
+    rows = _supplier_tables(spark, d)
+    least = rows.agg(F.min(F.col("corpus_id").cast("int"))).first()[0]
+    with tempfile.TemporaryDirectory() as folder:
+        api.build_chunks(spark, rows.filter(F.col("corpus_id") == str(least)), f"{folder}/chunks.json", chunk_size=30, chunk_overlap=0)
+        values = json.loads(Path(folder, "chunks.json").read_text(encoding="utf-8"))
+    return spark.createDataFrame([(v["id"], v["row_start"], v["row_end"]) for v in values], "id int, row_start int, row_end int")
+
+
 # geometry -------------------------------------------------------------------
 
 
@@ -437,27 +557,28 @@ def nearest_anchor(spark, d):
 # brochures ------------------------------------------------------------------
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN p < 1000 THEN 'R21 113Y ' || p || ' Ft' ELSE 'R21 113Y ' || p || ' Ft' END AS compacted
-FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS p FROM lineitem)""")
+@query("SELECT l_orderkey, l_linenumber, 'R21 113Y ' || floor(l_extendedprice)::BIGINT || ' Ft' AS compacted FROM lineitem")
 def grouped_numbers(spark, d):
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("long").alias("p"))
     spaced = F.concat(F.lit("R21 113Y "), F.replace(F.format_number("p", 0), F.lit(","), F.lit(" ")), F.lit(" Ft"))
-    return li.select("l_orderkey", "l_linenumber", t.compact_numbers(spaced).alias("compacted"))
+    return _mapped(li.select("l_orderkey", "l_linenumber", spaced), lambda x: (layout.compact(x),), ["l_orderkey", "l_linenumber"], {"compacted": "string"})
 
 
 @query("SELECT p_partkey, (replace(regexp_extract(replace(p_name || ' ' || p_retailprice, '.', ','), '-?[0-9]+(?:[.,][0-9]+)?'), ',', '.'))::DOUBLE AS number FROM part")
 def first_number(spark, d):
-    return read(spark, d, "part").select("p_partkey", t.first_number(F.replace(F.concat("p_name", F.lit(" "), F.col("p_retailprice").cast("string")), F.lit("."), F.lit(","))).alias("number"))
+    rows = read(spark, d, "part").select("p_partkey", F.replace(F.concat("p_name", F.lit(" "), F.col("p_retailprice").cast("string")), F.lit("."), F.lit(",")))
+    return _mapped(rows, lambda x: (model_year.number(x),), ["p_partkey"], {"number": "double"})
 
 
 @query("""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'STANDARD' WHEN 'O' THEN 'NOT_AVAILABLE' ELSE 'OPTION' END AS status,
        CASE WHEN o_orderstatus IN ('F', 'O') THEN 0.0 ELSE floor(o_totalprice) END::DOUBLE AS price FROM orders""")
 def cell_status(spark, d):
-    s = F.col("o_orderstatus")
-    cell = F.when(s == "F", "•").when(s == "O", " – ").otherwise(F.concat(F.floor("o_totalprice").cast("string"), F.lit(" Ft")))
-    return read(spark, d, "orders").select("o_orderkey", t.cell_status(cell).alias("c")).select("o_orderkey", "c.status", F.col("c.priceGross").alias("price"))
+    s, k = F.col("o_orderstatus"), F.col("o_orderkey") % 4
+    standard = F.element_at(F.array(*map(F.lit, ("•", "alap •", " ● ", "·"))), (k + 1).cast("int"))
+    missing = F.element_at(F.array(*map(F.lit, (" – ", "—", "*", "Nem elérhető"))), (k + 1).cast("int"))
+    cell = F.when(s == "F", standard).when(s == "O", missing).otherwise(F.concat(F.floor("o_totalprice").cast("string"), F.lit(" Ft")))
+    return _mapped(read(spark, d, "orders").select("o_orderkey", cell), lambda x: tuple(model_year.cell_status(x).values()), ["o_orderkey"], {"status": "string", "price": "double"})
 
 
 @query("""
@@ -465,35 +586,41 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'PHEV' WHEN c_mktseg
 def engine_kind(spark, d):
     seg = F.col("c_mktsegment")
     engine = F.when(seg == "MACHINERY", "1.6 Plug-in Hybrid").when(seg == "BUILDING", "1.5 Dízel").otherwise("1.2 Turbo Hybrid")
-    return read(spark, d, "customer").select("c_custkey", t.engine_kind(engine).alias("kind"))
+    return _mapped(read(spark, d, "customer").select("c_custkey", engine), lambda x: (model_year.engine_kind(x),), ["c_custkey"], {"kind": "string"})
 
 
 @query("""
 WITH c AS (SELECT p_partkey, p_brand, upper(array_to_string(regexp_extract_all(p_name, '[A-Za-z0-9]+'), '_')) AS code, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part),
 n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, code ORDER BY pos) AS nth FROM c)
-SELECT p_partkey, CASE WHEN nth = 1 THEN code ELSE code || '_' || nth END AS code FROM n""")
+SELECT p_brand, string_agg(CASE WHEN nth = 1 THEN code ELSE code || '_' || nth END, '|' ORDER BY pos) AS codes FROM n GROUP BY p_brand""")
 def version_codes(spark, d):
-    code = t.version_code(F.col("p_name"), F.lit("VERSION"))
-    p = read(spark, d, "part").select("p_partkey", "p_brand", code.alias("code"))
-    nth = F.row_number().over(Window.partitionBy("p_brand", "code").orderBy("p_partkey"))
-    return p.select("p_partkey", F.when(nth == 1, F.col("code")).otherwise(F.concat("code", F.lit("_"), nth.cast("string"))).alias("code"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
+    lists = read(spark, d, "part").groupBy("p_brand").agg(names.alias("names"))
+    return _mapped(lists, lambda names: ("|".join(model_year.version_codes([{"versionData": {"marketingName": n}} for n in names])),), ["p_brand"], {"codes": "string"})
 
 
-@query("SELECT c_mktsegment AS spec, c_custkey, upper(c_mktsegment) AS code FROM customer WHERE lower(c_mktsegment) IN ('building', 'furniture')")
-def coded_rows(spark, d):
-    specs = spark.createDataFrame([("Building",), ("FURNITURE",)], "want string")
+def _customer_tables(spark, d) -> DataFrame:
+    """Customers by nation as tables whose first column is the market segment."""
     c = read(spark, d, "customer")
-    return c.join(F.broadcast(specs), F.lower("c_mktsegment") == F.lower("want")).select(F.col("c_mktsegment").alias("spec"), "c_custkey", F.upper("c_mktsegment").alias("code"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.array("c_mktsegment", F.col("c_custkey").cast("string")).alias("r")))), lambda x: x["r"])
+    return c.groupBy(F.col("c_nationkey").cast("string").alias("corpus_id")).agg(rows.alias("rows")).withColumns({"type": F.lit("table"), "block_pos": F.lit(0)})
 
 
-_STATUS = "CASE WHEN o_orderpriority LIKE '1%' THEN 'STANDARD' WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 'OPTION' ELSE 'NOT_AVAILABLE' END"
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
+SELECT c_nationkey::VARCHAR AS corpus_id, n::INTEGER AS row_no, lower(c_mktsegment) AS code, c_custkey::VARCHAR AS value FROM r WHERE lower(c_mktsegment) IN ('building', 'furniture')""")
+def coded_rows(spark, d):
+    return model_year.coded_rows(_customer_tables(spark, d), ["Building", "FURNITURE"]).select("corpus_id", "row_no", "code", F.col("row")[1].alias("value"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS corpus_id, bool_or(lower(c_mktsegment) = 'machinery') AND bool_or(c_custkey % 7 = 0) AS matches FROM customer GROUP BY 1")
+def layout_signatures(spark, d):
+    none = lambda kind: F.lit(None).cast(kind)
+    tables = _customer_tables(spark, d).withColumn("rows", F.transform("rows", lambda r: F.array(r[0], F.when(r[1].cast("long") % 7 == 0, F.lit("Hetedik")).otherwise(F.lit("")))))
+    return model_year.folded_signatures(tables.withColumns({"text": none("string"), "caption": none("string"), "headers": none("array<string>")}), ["machinery", "hetedik"])
 
 
-@query(f"SELECT o_custkey, o_orderstatus, count(*) FILTER (WHERE s = 'STANDARD') AS standard, count(*) FILTER (WHERE s = 'OPTION') AS optional, count(*) FILTER (WHERE s = 'NOT_AVAILABLE') AS missing FROM (SELECT *, {_STATUS} AS s FROM orders) GROUP BY 1, 2")
-def status_matrix(spark, d):
-    s = read(spark, d, "orders").withColumn("s", F.expr(_STATUS))
-    n = lambda x: F.count(F.when(F.col("s") == x, 1))
-    return s.groupBy("o_custkey", "o_orderstatus").agg(n("STANDARD").alias("standard"), n("OPTION").alias("optional"), n("NOT_AVAILABLE").alias("missing"))
+_STATUS = "CASE WHEN o_orderpriority LIKE '1%' THEN 'STANDARD' WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 'OPTION' ELSE 'NOT_AVAILABLE' END"
 
 
 @query(f"SELECT o_custkey, arg_max(s, k) AS status, arg_max(o_totalprice, k) AS price FROM (SELECT *, (CASE s WHEN 'STANDARD' THEN 2 WHEN 'OPTION' THEN 1 ELSE 0 END) * 1e12 - o_orderkey AS k FROM (SELECT *, {_STATUS} AS s FROM orders)) GROUP BY 1")
@@ -503,18 +630,76 @@ def merge_status(spark, d):
 
 
 @query("""
-WITH v AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos FROM region), o AS (SELECT n_name, n_nationkey FROM nation)
-SELECT n_name, pos::INTEGER AS pos, r_name, n_nationkey * 10 + pos AS status FROM o, v""")
+WITH v AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos FROM region)
+SELECT 'Nations' AS name, n_name AS option, pos::INTEGER AS position, upper(replace(r_name, ' ', '_')) AS version_code, CASE WHEN (n_nationkey + pos) % 3 = 0 THEN 'STANDARD' WHEN (n_nationkey + pos) % 3 = 1 THEN 'OPTION' ELSE 'NOT_AVAILABLE' END AS status,
+       CASE WHEN (n_nationkey + pos) % 3 = 1 THEN n_nationkey * 10.0 ELSE 0.0 END::DOUBLE AS price FROM nation, v""")
 def link_positions(spark, d):
-    versions = read(spark, d, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: x["r_name"]).alias("versions"))
-    options = read(spark, d, "nation").select("n_name", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("n_nationkey") * 10 + i).cast("long")).alias("status"))
-    linked = options.join(F.broadcast(versions)).select("n_name", F.posexplode(F.arrays_zip("versions", "status")).alias("pos", "z"))
-    return linked.select("n_name", "pos", F.col("z.versions").alias("r_name"), F.col("z.status").alias("status"))
+    """A document of nations (options) by regions (versions) is linked, and its statuses come out as rows."""
+    regions = [r.r_name for r in read(spark, d, "region").orderBy("r_regionkey").collect()]
+    kinds = ("STANDARD", "OPTION", "NOT_AVAILABLE")
+    options = [
+        {"marketingName": n.n_name, "type": "OPTION", "versionStatus": [{"status": kinds[(n.n_nationkey + i) % 3], "priceGross": n.n_nationkey * 10.0 if (n.n_nationkey + i) % 3 == 1 else 0.0} for i in range(len(regions))]}
+        for n in read(spark, d, "nation").orderBy("n_nationkey").collect()
+    ]
+    draft = {"id": 1, "name": "Nations", "versions": [{"id": i, "versionData": {"marketingName": r}} for i, r in enumerate(regions)], "options": options}
+    return model_year.status_rows(model_year.typed(spark, [model_year.link(draft)]))
+
+
+# documents of pages and brochures ----------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('d', 0::BIGINT, 'table', 'Available accessories', 'Alpha kit|10000 Ft;Beta rack|20000 Ft', 1), ('d', 1, 'paragraph', 'Legal', NULL, 1), ('d', 2, 'paragraph', 'Caption here', NULL, 1), ('d', 3, 'table', 'Caption here', 'a|1', 1), ('d', 4, 'paragraph', 'second page', NULL, 2)) t(corpus_id, block_pos, type, shown, rows, page)")
+def layout_tables(spark, d):
+    words = fixtures.drawn(f"{fixtures.CARDS}|Caption@0,150,20,157|here@22,150,40,157|{fixtures.SMALL_WORDS}")
+    kinds = {"words": PDF_WORD, "tables": PDF_TABLE, "cells": PDF_CELL, "images": PDF_BOX, "rects": PDF_BOX}
+    box, rows = fixtures.SMALL
+    values = {
+        "words": [("d", 1, i, w.text, w.x0, w.top, w.x1, w.bottom, w.upright) for i, w in enumerate(words)] + [("d", 2, 0, "second", 0.0, 0.0, 9.0, 8.0, True), ("d", 2, 1, "page", 11.0, 0.0, 19.0, 8.0, None)],
+        "tables": [("d", 1, 1, *map(float, box))], "cells": [("d", 1, 1, i, j, *map(float, c)) for i, row in enumerate(rows) for j, c in enumerate(row)],
+        "images": [("d", 1, *map(float, p)) for p in fixtures.PICTURES], "rects": [("d", 1, *map(float, p)) for p in fixtures.RULE],
+    }
+    frames = {k: spark.createDataFrame(v, kinds[k]) for k, v in values.items()}
+    pages = spark.createDataFrame([("d", 1, 300.0), ("d", 2, 300.0), ("e", 1, None)], "doc string, page int, width double")
+    found = layout.layout_blocks(*(frames[k] for k in ("words", "tables", "cells", "images", "rects")), pages)
+    return found.select("corpus_id", "block_pos", "type", F.coalesce("text", "caption").alias("shown"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"), "page")
+
+
+@query("SELECT * FROM (VALUES ('/a/x.pdf', 0::BIGINT, 'paragraph', 'Title'), ('/a/x.pdf', 1, 'table', 'Title'), ('/b/x.pdf', 0, 'paragraph', 'Title'), ('/b/x.pdf', 1, 'table', 'Title')) t(corpus_id, block_pos, type, shown)")
+def pdf_rows(spark, d):
+    files = spark.createDataFrame([("/a/x.pdf", bytearray(b"%PDF-")), ("/b/x.pdf", bytearray(b"%PDF-")), ("/empty.pdf", bytearray(b""))], "path string, content binary")
+    pages = [[f"Title@0,10,20,17|{fixtures.SMALL_WORDS}", [fixtures.SMALL]]]
+    found = pdf.extracted(files, lambda path: fixtures.FakeDocument(pages if path.stat().st_size else []))
+    return found.select("corpus_id", "block_pos", "type", F.coalesce("text", "caption").alias("shown"))
+
+
+_PRICE = "CASE WHEN v < 6 THEN [9990000, 10990000, 12190000][v // 2 + 1] ELSE [9990000, 10990000, 12190000][v - 5] END::DOUBLE"
+_CODE = "CASE WHEN v < 6 THEN ['EDITION', 'GS', 'ULTIMATE'][v // 2 + 1] || ['_HYBRID_145_AT6', '_DIESEL_130_AT8'][v % 2 + 1] ELSE ['EDITION', 'GS', 'ULTIMATE'][v - 5] || '_PHEV_195_AT7' END"
+
+
+@query(f"""
+WITH n AS (SELECT n_nationkey::VARCHAR AS corpus_id, n_nationkey % 5 = 4 AS broken FROM nation), v AS (SELECT unnest(range(9)) AS v)
+SELECT corpus_id, CASE WHEN NOT broken THEN 'Astra MY26B' END AS name, CASE WHEN NOT broken THEN v::INTEGER END AS position, CASE WHEN NOT broken THEN {_CODE} END AS code, CASE WHEN NOT broken THEN {_PRICE} END AS price FROM n JOIN v ON NOT broken OR v = 0""")
+def model_year_documents(spark, d):
+    """A brochure for each nation, a fifth of them without their first price table."""
+    shown = json.dumps(fixtures.brochure())
+    rows = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("corpus_id"), F.posexplode(F.from_json(F.lit(shown), f"array<{BLOCK_JSON}>")).alias("block_pos", "x"), (F.col("n_nationkey") % 5 == 4).alias("broken"))
+    blocks = rows.filter("NOT broken OR block_pos > 0").select("corpus_id", F.col("block_pos").cast("long").alias("block_pos"), "x.*")
+    built = model_year.documents(blocks)
+    return built.select("corpus_id", "document.name", F.posexplode_outer("document.versions").alias("position", "v")).select("corpus_id", "name", "position", F.col("v.versionData.versionCode").alias("code"), F.col("v.versionData.priceGross").alias("price"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END::INTEGER AS errors FROM nation")
+def schema_column(spark, d):
+    """Nations as JSON documents against a schema that allows names of every third."""
+    n = read(spark, d, "nation")
+    names = [r.n_name for r in n.filter("n_nationkey % 3 = 0").collect()]
+    schema = {"type": "object", "required": ["name"], "properties": {"name": {"enum": names}, "key": {"type": "integer"}}}
+    return n.select("n_nationkey", F.size(jsonschema.error_column(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))), schema)).alias("errors"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | fixtures.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | fixtures.ORACLES

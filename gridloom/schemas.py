@@ -45,3 +45,5 @@ STATUS = "STRUCT<status: STRING, priceGross: DOUBLE>"
 VERSION = "STRUCT<marketingName: STRING, priceGross: DOUBLE, engineLabel: STRING, transmissionLabel: STRING, trimLabel: STRING, versionCode: STRING>"
 OPTION = f"STRUCT<marketingName: STRING, type: STRING, optionCode: STRING, description: STRING, versionStatus: ARRAY<{STATUS}>>"
 MODEL_YEAR = f"name STRING, validFrom STRING, versions ARRAY<STRUCT<versionData: {VERSION}>>, options ARRAY<{OPTION}>"
+#: A block as it is saved in JSON.
+BLOCK_JSON = "STRUCT<type: STRING, text: STRING, source_name: STRING, source_url: STRING, page: INT, heading_path: ARRAY<STRING>, table_id: STRING, caption: STRING, headers: ARRAY<STRING>, rows: ARRAY<ARRAY<STRING>>, bbox: ARRAY<DOUBLE>>"

@@ -16,6 +16,7 @@ from urllib.parse import parse_qsl
 from pyspark.sql import SparkSession
 
 from . import __version__, api
+from .functions import jsonschema
 from .functions.jsonschema import SchemaError
 
 
@@ -113,10 +114,17 @@ def handle(spark: SparkSession, limits: Limits, path: str, body: dict, files: li
         if path == "/v1/chunks":
             return chunks(spark, body)
         if path == "/v1/model-year-options":
-            return api.build_model_year_options(body.get("blocks", []), body.get("source_name"), body.get("profile", "auto"), body.get("name"), body.get("valid_from"))
-    except (ValueError, TypeError, SchemaError) as e:
+            if not isinstance(body.get("blocks"), list):
+                raise Refused(422, "blocks must be a JSON list")
+            built = api.build_model_year_options(body["blocks"], body.get("source_name"), body.get("profile", "auto"), body.get("name"), body.get("valid_from"))
+            if body.get("schema") is not None:
+                jsonschema.validate(built, body["schema"])
+            return built
+    except Refused:
+        raise
+    except (ValueError, TypeError, KeyError, AttributeError, SchemaError) as e:
         raise Refused(422, str(e)) from e
-    except RuntimeError as e:
+    except Exception as e:
         raise Refused(500, str(e)) from e
     raise Refused(404, "there is no such path")
 

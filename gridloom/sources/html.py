@@ -10,7 +10,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -242,16 +242,16 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
 def html_blocks(pages: DataFrame, corpus: str | None = None, **options) -> DataFrame:
     """Block rows of pages.  Each page is a corpus of its own, or all are in
-    the corpus ``corpus``, in the order of page ids."""
+    the corpus ``corpus``, in the order of page ids, which is then numbered in
+    one task, as a corpus is for chunking."""
     parsed = parse_pages(pages, **options)
     rows = parsed.select("page_id", "url", "name", F.posexplode("found").alias("_at", "_b"))
-    place = F.col("_at").cast("long") if corpus is None else F.col("page_id").cast("long") * 1_000_000 + F.col("_at")
+    place = F.col("_at").cast("long") if corpus is None else (F.row_number().over(Window.orderBy("page_id", "_at")) - 1).cast("long")
     rows = rows.select(
         (F.col("page_id").cast("string") if corpus is None else F.lit(corpus)).alias("corpus_id"), place.alias("block_pos"), "_b.type", "_b.text", F.col("name").alias("source_name"), F.coalesce("url", F.lit("")).alias("source_url"),
         F.lit(None).cast("int").alias("page"), "_b.heading_path", "_b.table_id", "_b.caption", "_b.headers", "_b.rows", F.lit(None).cast("array<double>").alias("bbox"),
     )
-    tables = b.normalise_tables(rows.filter("type = 'table'")).select(*BLOCK.names)
-    return b.normalise_texts(rows.filter("type <> 'table'")).select(*BLOCK.names).unionByName(tables)
+    return b.normalise(rows).select(*BLOCK.names)
 
 
 def html_text(pages: DataFrame, **options) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import shutil
+import tempfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators import blocks as b
 from ..operators import layout
-from ..schemas import PDF_CORPUS_VERSION
+from ..schemas import BLOCK, PDF_CORPUS_VERSION
 from . import corpus
 
 
@@ -82,10 +86,10 @@ def _boxes(items) -> list[layout.Box]:
     return out
 
 
-def file_blocks(path: Path, progress: Callable[[str], None] | None = None) -> tuple[list[dict], dict]:
-    """Blocks of one file and its source record."""
+def file_blocks(path: Path, progress: Callable[[str], None] | None = None, open_file: Callable | None = None) -> tuple[list[dict], dict]:
+    """Blocks of one file and its source record; ``open_file`` stands in for the reader's."""
     found: list[dict] = []
-    with reader().open(path) as document:
+    with (open_file or reader().open)(path) as document:
         for number, page in enumerate(document.pages, 1):
             try:
                 page = page.dedupe_chars()
@@ -107,10 +111,8 @@ def file_blocks(path: Path, progress: Callable[[str], None] | None = None) -> tu
     return found, {"kind": "pdf", "filename": path.name, "bytes": path.stat().st_size, "pages": pages}
 
 
-def prepare_pdf_corpus(spark: SparkSession, value, root: str | Path, max_files: int = 10, max_file_bytes: int = 50_000_000, progress: Callable[[str], None] | None = None) -> corpus.SavedCorpus:
+def prepare_pdf_corpus(spark: SparkSession, value, root: str | Path, max_files: int = 10, max_file_bytes: int = 50_000_000, progress: Callable[[str], None] | None = None, open_file: Callable | None = None) -> corpus.SavedCorpus:
     """The saved corpus of PDF files; a request that was answered before isn't read again."""
-    from ..operators import blocks as b
-
     paths = pdf_paths(value, max_files, max_file_bytes)
     key = pdf_request_key(paths)
     if found := corpus.cached(root, key):
@@ -118,12 +120,11 @@ def prepare_pdf_corpus(spark: SparkSession, value, root: str | Path, max_files:
     blocks: list[dict] = []
     sources: list[dict] = []
     for i, path in enumerate(paths, 1):
-        own, source = file_blocks(path, progress)
+        own, source = file_blocks(path, progress, open_file)
         blocks += own
         sources.append({**source, "source": i, "stored_file": f"sources/{i:02}_{path.name}"})
     rows = corpus.blocks_from(spark, blocks)
-    tables, texts = b.normalise_tables(rows.filter("type = 'table'")), b.normalise_texts(rows.filter("type <> 'table'"))
-    saved = corpus.save_corpus(texts.unionByName(tables), sources, root, key, PDF_CORPUS_VERSION)
+    saved = corpus.save_corpus(b.normalise(rows), sources, root, key, PDF_CORPUS_VERSION)
     for path, source in zip(paths, sources, strict=True):
         target = saved.blocks_path.parent / source["stored_file"]
         target.parent.mkdir(exist_ok=True)
@@ -132,5 +133,25 @@ def prepare_pdf_corpus(spark: SparkSession, value, root: str | Path, max_files:
     return saved
 
 
-def is_pdf(content: Column) -> Column:
-    return F.substring(content, 1, 5) == F.lit(b"%PDF-")
+
+def extracted(files: DataFrame, open_file: Callable | None = None) -> DataFrame:
+    """Block rows of PDF files given as rows (path, content), each a corpus of
+    its own; the files are read by the executors.  A file without readable text
+    gives no rows."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with tempfile.TemporaryDirectory() as folder:
+                    target = Path(folder, Path(path).name)
+                    target.write_bytes(content)
+                    try:
+                        found, _ = file_blocks(target, open_file=open_file)
+                    except ValueError:
+                        found = []
+                out += [[path, i, *(block.get(k) for k in BLOCK.names[2:])] for i, block in enumerate(found)]
+            cols = list(zip(*out, strict=True)) or [()] * len(BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(BLOCK), strict=True)], names=BLOCK.names)
+
+    return b.normalise(files.select("path", "content").mapInArrow(run, BLOCK)).select(*BLOCK.names)
