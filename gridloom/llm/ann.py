@@ -20,11 +20,10 @@ WORDS = 256
 BEAM = 4
 #: Vectors that the codebooks are fitted on at most (those of least hash).
 MOST_FITTED = 8192
-#: Vectors of a block of codes, and queries of a block of queries.
+#: Vectors of a block of codes.
 BLOCK = 16_384
-QUERIES = 1024
 #: Candidates that a query reranks in each block.
-RERANK = 400
+RERANK = 200
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -96,7 +95,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = BEAM,
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v, row (a number of the row) of the vectors that take part: not null, not zero, all components finite."""
+    """vec_id, v and row (a number of the row) of the vectors that take part: not null, not zero, all components finite."""
     v = F.col("v").cast("array<double>")
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.monotonically_increasing_id().alias("row"))
@@ -116,73 +115,103 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == least)[: n - len(above)]])
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, most_fitted: int = MOST_FITTED, block: int = BLOCK, queries: int = QUERIES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A row of bytes as one binary value each."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+class Block:
+    """A block of the index: ids in order, row numbers, vectors, codes by book and norms."""
+
+    def __init__(self, parts: list[pa.RecordBatch], d: int):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        self.ids, self.rows, self.norms = (np.array(t.column(c), kind) for c, kind in (("vec_id", np.int64), ("row", np.int64), ("norm", float)))
+        self.v = _matrix(t.column("v").combine_chunks(), d)
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1).T)
+
+    def ask(self, query: int, row: int, q: np.ndarray, books: np.ndarray, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the ``k`` nearest among the ``rerank`` best codes."""
+        lut = books @ q.astype(np.float32)
+        score = lut[0].take(self.codes[0])
+        for j in range(1, len(self.codes)):
+            score += lut[j].take(self.codes[j])
+        score *= self.norms
+        lo, hi = np.searchsorted(self.ids, (query, query + 1))
+        score[lo:hi][self.rows[lo:hi] == row] = -np.inf
+        at = _best(score, rerank)
+        at = at[self.rows[at] != row]
+        exact = (self.v[at] * q).sum(axis=1)
+        order = np.lexsort((self.ids[at], -exact))[:k]
+        return self.ids[at][order], exact[order]
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, most_fitted: int = MOST_FITTED, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` rows nearest to
     each row whose id is divisible by ``every``.
 
     The score is the inner product in double precision.  All vectors are
-    indexed and all blocks of codes are scored for each block of queries; each
-    task reranks a query's ``rerank`` best codes of its block on the original
-    vectors and passes on ``k``.  Of equal scores the smaller id comes first.
-    Null, zero and non-finite vectors take no part, nor do those whose length
-    isn't the commonest one.  An empty table gives no rows.
+    indexed and all blocks of codes are scored for each query; a query reranks
+    the ``rerank`` best codes of each block on the original vectors.  Of equal
+    scores the smaller id comes first.  Null, zero and non-finite vectors take
+    no part.  Products are defined between vectors of one length only, so each
+    length is searched by itself.  Rows that share an id are rows like others:
+    each such query has a list of its own, in which the other rows of its id
+    are candidates.  An empty table gives no rows.
     """
     good = usable(vectors, vec_id, embedding)
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    d, total = common["d"], common["count"]
-    good = good.filter(F.size("v") == d)
-    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).toArrow()
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d, total in sorted((r.d, r.n) for r in good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
+        found = found.unionByName(_search(good.filter(F.size("v") == d), d, total, every, k, rerank, most_fitted, block))
+    return found
+
+
+def _search(good: DataFrame, d: int, total: int, every: int, k: int, rerank: int, most_fitted: int, block: int) -> DataFrame:
+    some = good.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(most_fitted).toArrow()
     x = np.array(some.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     books = fit(x, words=min(WORDS, max(1, len(x))))
 
-    def gather(key, t):
-        """A block in one row: ids in order, vectors, codes of the directions and norms."""
-        v = np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
-        ids = np.array(t.column("vec_id"), np.int64)
-        order = np.argsort(ids, kind="stable")
-        v, ids = v[order], ids[order]
-        norms = np.linalg.norm(v, axis=1)
-        codes = encode(v / norms[:, None], books)
-        parts = (ids, v, codes, norms)
-        return pa.table({"block": [key[0].as_py()], **{n: pa.array([p.tobytes()], pa.binary()) for n, p in zip(("ids", "vectors", "codes", "norms"), parts, strict=True)}})
-
-    def ask(key, t):
-        v = np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
-        return pa.table({"qblock": [key[0].as_py()], "qids": pa.array([np.array(t.column("vec_id"), np.int64).tobytes()], pa.binary()), "qvectors": pa.array([v.tobytes()], pa.binary())})
+    def code(batches):
+        for b in batches:
+            v = _matrix(b.column(1), d)
+            norms = np.linalg.norm(v, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, _packed(encode(v / norms[:, None], books)), pa.array(norms)], names=["vec_id", "v", "row", "codes", "norm"])
 
+    # cut: the rows' numbers must be the same where they are read again
+    coded = cut(good.withColumn("v", F.col("v").cast("array<double>")).mapInArrow(code, "vec_id long, v array<double>, row long, codes binary, norm double"))
     blocks = -(-total // block)
-    coded = good.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).applyInArrow(gather, "block long, ids binary, vectors binary, codes binary, norms binary")
-    qblocks = max(1, -(-total // (every * queries)))
-    asked = good.filter(F.col("vec_id") % every == 0).groupBy(F.pmod(F.xxhash64("row"), F.lit(qblocks)).alias("qblock")).applyInArrow(ask, "qblock long, qids binary, qvectors binary")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    stored = coded.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "vec_id", "v", "row", "codes", "norm")
+    asked = coded.filter(F.col("vec_id") % every == 0).select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "row", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm")
+    )
 
     def nearest(batches):
+        """A block's vectors come before its queries, which stream past them."""
+        held: list[pa.RecordBatch] = []
+        at, index = None, None
         for b in batches:
-            for ids, vectors, codes, norms, qids, qvectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, qids, norms = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64), np.frombuffer(norms)
-                v, q = np.frombuffer(vectors).reshape(-1, d), np.frombuffer(qvectors).reshape(-1, d)
-                columns = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
-                out: list[tuple] = []
-                for i in range(len(q)):
-                    lut = books @ q[i].astype(np.float32)
-                    score = lut[0].take(columns[0])
-                    for j in range(1, len(columns)):
-                        score += lut[j].take(columns[j])
-                    score *= norms
-                    score[np.searchsorted(ids, qids[i]) : np.searchsorted(ids, qids[i], side="right")] = -np.inf
-                    at = _best(score, rerank)
-                    at = at[ids[at] != qids[i]]
-                    exact = (v[at] * q[i]).sum(axis=1)
-                    order = np.lexsort((ids[at], -exact))[:k]
-                    out.append((np.full(len(order), qids[i]), ids[at][order], exact[order]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    pairs = asked.join(coded, "block").select("ids", "vectors", "codes", "norms", "qids", "qvectors")
-    found = pairs.mapInArrow(nearest, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            blocks, kinds = np.array(b.column(0)), np.array(b.column(1))
+            edges = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if kinds[lo] == 0:
+                    if index is not None or blocks[lo] != at:
+                        held, index, at = [], None, blocks[lo]
+                    held.append(part)
+                    continue
+                if blocks[lo] != at:
+                    continue  # a block without vectors
+                index = index or Block(held, d)
+                ids, rows, q = np.array(part.column(2)), np.array(part.column(4)), _matrix(part.column(3), d)
+                out = [index.ask(i, row, v, books, rerank, k) for i, row, v in zip(ids.tolist(), rows.tolist(), q, strict=True)]
+                many = [len(x) for x, _ in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, many)), pa.array(np.repeat(rows, many)), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([s for _, s in out]))], names=["query_id", "row", "vec_id", "score"]
+                )
+
+    found = stored.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "vec_id").mapInArrow(nearest, "query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
