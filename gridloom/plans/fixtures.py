@@ -12,6 +12,7 @@ from collections.abc import Callable
 from contextlib import nullcontext
 from email.message import Message
 from functools import partial
+from io import BytesIO
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -444,12 +445,25 @@ cases("build_information", lambda *x: service.build_info(*x), [(["ABCDEF0123", "
 FORM = "--b\r\nContent-Disposition: form-data; name=\"files\"; filename=\"a.pdf\"\r\n\r\n%PDF-x\r\n--b\r\nContent-Disposition: form-data; name=\"urls\"\r\n\r\nhttps://a.org\r\n--b--\r\n"
 
 
-def _parts(kind, body):
-    value, files, found = service.parts(kind, body.encode())
-    return [value, [[n, b.decode()] for n, b in files], found]
+def _parts(folder, kind, body, piece=1 << 20, most=100):
+    limits = SimpleNamespace(files=1, file_bytes=most)
+    held, service.PIECE = service.PIECE, piece
+    try:
+        value, files, found = service.parts(kind, BytesIO(body.encode()), len(body.encode()), folder, limits)
+    finally:
+        service.PIECE = held
+    return [value, [[n, p.read_bytes().decode()] for n, p in files], found]
 
 
-cases("request_parts", _parts, [(["application/json", '{"a": 1}'], [{"a": 1}, [], []]), (["application/json", "["], ERROR), (["application/json", "[]"], ERROR), (["application/x-www-form-urlencoded", "urls=https%3A%2F%2Fa.org&x=1"], [{}, [], ["https://a.org"]]), (['multipart/form-data; boundary="b"', FORM], [{}, [["a.pdf", "%PDF-x"]], ["https://a.org"]])])
+FILE = [{}, [["a.pdf", "%PDF-x"]], ["https://a.org"]]
+MULTI = 'multipart/form-data; boundary="b"'
+cases(
+    "request_parts", partial(_in_folder, _parts),
+    [
+        (["application/json", '{"a": 1}'], [{"a": 1}, [], []]), (["application/json", "["], ERROR), (["application/json", "[]"], ERROR), (["application/x-www-form-urlencoded", "urls=https%3A%2F%2Fa.org&x=1"], [{}, [], ["https://a.org"]]),
+        ([MULTI, FORM], FILE), ([MULTI, FORM, 1], FILE), ([MULTI, FORM, 7], FILE), ([MULTI, FORM[:-6]], ERROR), ([MULTI, FORM, 7, 3], ERROR), (["multipart/form-data", FORM], ERROR), (["text/plain", "x"], ERROR),
+    ],
+)
 OPEN = {"type": "object", "required": ["missing"]}
 
 

@@ -6,11 +6,14 @@ import json
 import os
 import re
 import tempfile
+from collections.abc import Callable
 from datetime import UTC, datetime
+from email.message import Message
 from email.parser import BytesParser
 from email.policy import default as mail_policy
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from typing import BinaryIO
 from urllib.parse import parse_qsl
 
 from pyspark.sql import SparkSession
@@ -53,6 +56,10 @@ def build_info(commit: str, time: str) -> dict:
     return {"commit": commit, "commitTime": time}
 
 
+#: Bytes of an upload that are held at once.
+PIECE = 1 << 20
+
+
 class Refused(Exception):
     def __init__(self, status: int, detail: str):
         super().__init__(detail)
@@ -71,7 +78,7 @@ class Limits:
         self.allow_urls = flag("GRIDLOOM_ALLOW_URLS")
 
 
-def extract(spark: SparkSession, limits: Limits, files: list[tuple[str, bytes]], urls: list[str]) -> dict:
+def extract(spark: SparkSession, limits: Limits, files: list[tuple[str, Path]], urls: list[str]) -> dict:
     if bool(files) == bool(urls):
         raise Refused(422, "give either files or urls")
     with tempfile.TemporaryDirectory() as folder:
@@ -83,14 +90,14 @@ def extract(spark: SparkSession, limits: Limits, files: list[tuple[str, bytes]],
             if len(files) > limits.files:
                 raise Refused(413, f"at most {limits.files} files are accepted")
             sources = []
-            for i, (name, body) in enumerate(files, 1):
+            for i, (name, path) in enumerate(files, 1):
                 if not name.casefold().endswith(".pdf"):
                     raise Refused(422, f"{name} is no PDF file")
-                if len(body) > limits.file_bytes:
+                if path.stat().st_size > limits.file_bytes:
                     raise Refused(413, f"{name} has more than {limits.file_bytes} bytes")
                 target = Path(folder, f"{i:02}", Path(name).name)
                 target.parent.mkdir()
-                target.write_bytes(body)
+                path.replace(target)
                 sources.append(str(target))
         saved = api.extract_corpus(spark, sources, Path(folder, "out"), source_type="html" if urls else "pdf", max_pdf_files=limits.files, max_pdf_file_bytes=limits.file_bytes, max_url_pages=limits.urls, url_timeout_seconds=limits.timeout, max_url_page_bytes=limits.page_bytes)
         return {"blocks": json.loads(saved.blocks_path.read_text()), "sources": json.loads(saved.sources_path.read_text()), "text": saved.corpus_path.read_text(), "contentKey": saved.content_key}
@@ -107,7 +114,7 @@ def chunks(spark: SparkSession, body: dict) -> dict:
     return {"chunks": found}
 
 
-def handle(spark: SparkSession, limits: Limits, path: str, body: dict, files: list[tuple[str, bytes]] = (), urls: list[str] = ()) -> dict:
+def handle(spark: SparkSession, limits: Limits, path: str, body: dict, files: list[tuple[str, Path]] = (), urls: list[str] = ()) -> dict:
     try:
         if path == "/v1/extract":
             return extract(spark, limits, list(files), list(urls))
@@ -129,8 +136,70 @@ def handle(spark: SparkSession, limits: Limits, path: str, body: dict, files: li
     raise Refused(404, "there is no such path")
 
 
-def parts(kind: str, body: bytes) -> tuple[dict, list[tuple[str, bytes]], list[str]]:
+def form(kind: str, stream: BinaryIO, size: int, folder: Path, limits: Limits) -> tuple[list[tuple[str, Path]], list[str]]:
+    """Files and URLs of a multipart form.  Files go to ``folder`` in pieces of
+    at most PIECE bytes, so a large one is never held; too many and too large
+    ones are refused as they come."""
+    head = Message()
+    head["Content-Type"] = kind
+    mark = head.get_boundary()
+    if not mark:
+        raise Refused(422, "the form has no boundary")
+    mark = b"\r\n--" + mark.encode()
+    held, left = bytearray(b"\r\n"), size
+
+    def more() -> None:
+        nonlocal left
+        data = stream.read(min(PIECE, left))
+        if not data:
+            raise Refused(422, "the form ends within a part")
+        left -= len(data)
+        held.extend(data)
+
+    def until(end: bytes, take: Callable[[bytes], object]) -> None:
+        while (at := held.find(end)) < 0:
+            spare = max(0, len(held) - len(end) + 1)
+            take(bytes(held[:spare]))
+            del held[:spare]
+            more()
+        take(bytes(held[:at]))
+        del held[: at + len(end)]
+
+    files, urls = [], []
+    until(mark, lambda _: None)
+    while True:
+        while len(held) < 2:
+            more()
+        if held[:2] == b"--":
+            return files, urls
+        lines = bytearray()
+        until(b"\r\n\r\n", lines.extend)
+        about = BytesParser(policy=mail_policy).parsebytes(bytes(lines).lstrip() + b"\r\n\r\n", headersonly=True)
+        if about.get_filename():
+            if len(files) == limits.files:
+                raise Refused(413, f"at most {limits.files} files are accepted")
+            path = folder / f"part-{len(files)}"
+            with path.open("wb") as out:
+
+                def put(data: bytes, out=out, name=about.get_filename()) -> None:
+                    if out.tell() + len(data) > limits.file_bytes:
+                        raise Refused(413, f"{name} has more than {limits.file_bytes} bytes")
+                    out.write(data)
+
+                until(mark, put)
+            files.append((about.get_filename(), path))
+        else:
+            value = bytearray()
+            until(mark, value.extend)
+            if about.get_param("name", header="content-disposition") == "urls":
+                urls.append(value.decode().strip())
+
+
+def parts(kind: str, stream: BinaryIO, size: int, folder: Path, limits: Limits) -> tuple[dict, list[tuple[str, Path]], list[str]]:
     """JSON, or the files and URLs of a form."""
+    if kind.startswith("multipart/"):
+        return {}, *form(kind, stream, size, folder, limits)
+    body = stream.read(size)
     if kind.startswith("application/json"):
         try:
             value = json.loads(body)
@@ -141,13 +210,7 @@ def parts(kind: str, body: bytes) -> tuple[dict, list[tuple[str, bytes]], list[s
         return value, [], []
     if kind.startswith("application/x-www-form-urlencoded"):
         return {}, [], [v for k, v in parse_qsl(body.decode()) if k == "urls"]
-    files, urls = [], []
-    for part in BytesParser(policy=mail_policy).parsebytes(f"Content-Type: {kind}\r\n\r\n".encode() + body).iter_parts():
-        if part.get_filename():
-            files.append((part.get_filename(), part.get_payload(decode=True)))
-        elif part.get_param("name", header="content-disposition") == "urls":
-            urls.append(part.get_content().strip())
-    return {}, files, urls
+    raise Refused(422, f"a body of {kind or 'no kind'} can't be read")
 
 
 def server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
@@ -172,7 +235,8 @@ def server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000) -> Th
                 size = int(self.headers.get("Content-Length", 0))
                 if size > limits.files * limits.file_bytes + (1 << 20):
                     raise Refused(413, "the request is too large")
-                self.answer(200, handle(spark, limits, self.path, *parts(self.headers.get("Content-Type", ""), self.rfile.read(size))))
+                with tempfile.TemporaryDirectory() as folder:
+                    self.answer(200, handle(spark, limits, self.path, *parts(self.headers.get("Content-Type", ""), self.rfile, size, Path(folder), limits)))
             except Refused as e:
                 self.answer(e.status, {"detail": str(e)})
 
