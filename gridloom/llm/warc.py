@@ -1,9 +1,10 @@
 """WARC archives as chunked record tables.
 
-Payloads travel as rows of (record, chunk number, bytes), so no task holds a
-whole record: the writer streams a record's chunks into the archive, and the
-reader streams an archive into chunk rows that carry the length and the digest
-so far; the last chunk of a record has the digest of its whole payload.
+Payloads travel as rows of (record, chunk number, bytes), so no Python worker
+holds a whole record: digests grow chunk by chunk, the writer streams a record's
+chunks into the archive, and the reader streams an archive into chunk rows that
+carry the length and the digest so far; the last chunk of a record has the
+digest of its whole payload.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bytes_of, shared_folder, shuffle_partitions
+from .common import bytes_of, cut, hot_join, shared_folder
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LEVEL = 3
+#: Bytes at which an archive is full.
+ROLL = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A fixed date: archives of equal pages are equal.
 DATE = "2026-01-01T00:00:00Z"
@@ -48,7 +51,72 @@ def _clean(value: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value or "")
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, chunk: int = CHUNK, level: int = LEVEL) -> list[str]:
+def record_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", chunk: int = CHUNK) -> DataFrame:
+    """(row, page, url, no, last, chunk): payloads in UTF-8 as rows of at most
+    ``chunk`` bytes, a record's in order; null ones are one empty chunk.  Only
+    numbers are exploded, so a payload is cut as its chunks are asked for."""
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), bytes_of(html).alias("body"))
+    top = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk)).cast("int") - 1
+    rows = rows.withColumn("top", top).select("row", "page", "url", "body", "top", F.explode(F.sequence(F.lit(0), "top")).alias("no"))
+    return rows.select("row", "page", "url", "no", (F.col("no") == F.col("top")).alias("last"), F.expr(f"substring(body, no * {chunk} + 1, {chunk})").alias("chunk"))
+
+
+def record_digests(chunks: DataFrame) -> DataFrame:
+    """(row, page, n, digest) of records, from digests that grow chunk by chunk."""
+
+    def run(batches):
+        sha, size = hashlib.sha1(), 0
+        for b in batches:
+            out = []
+            for row, page, last, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sha.update(data)
+                size += len(data)
+                if last:
+                    out.append((row, page, size, sha.digest()))
+                    sha, size = hashlib.sha1(), 0
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row", "page", "n", "digest"])
+
+    return chunks.select("row", "page", "last", "chunk").mapInArrow(run, "row long, page long, n long, digest binary")
+
+
+class _Archives:
+    """The archives of one task: a new one begins where the last has ``roll``
+    bytes.  An archive is written under another name and renamed when complete,
+    so a task that is run again does no harm."""
+
+    def __init__(self, folder: str, part: int, level: int, roll: int):
+        self.folder, self.part, self.level, self.roll = folder, part, level, roll
+        self.files, self.base = fs.FileSystem.from_uri(folder)
+        self.out = self.squeeze = None
+        self.made: list[tuple[str, int]] = []
+
+    def begin(self, head: bytes) -> None:
+        if self.out is not None and self.out.tell() >= self.roll:
+            self.close()
+        if self.out is None:
+            self.hidden, self.n = f".part-{self.part:05d}-{uuid.uuid4().hex}", 0
+            self.out = self.files.open_output_stream(f"{self.base}/{self.hidden}", compression=None)
+        self.n += 1
+        self.squeeze = zlib.compressobj(self.level, zlib.DEFLATED, 31)
+        self.write(head)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(self.squeeze.compress(data))
+
+    def end(self) -> None:
+        self.out.write(self.squeeze.compress(b"\r\n\r\n") + self.squeeze.flush())
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            name = f"part-{self.part:05d}-{len(self.made):05d}.warc.gz"
+            self.files.move(f"{self.base}/{self.hidden}", f"{self.base}/{name}")
+            self.made.append((name, self.n))
+            self.out = None
+
+
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, chunk: int = CHUNK, level: int = LEVEL, roll: int = ROLL) -> list[str]:
     """Writes a record for each row of ``pages`` and returns the archives' names.
 
     Of records with equal payloads of at least ``least`` bytes the one with the
@@ -56,69 +124,47 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     come below all; of repeated rows one is the response); smaller payloads
     are all responses.  Null payloads are empty.
 
-    Rows are shuffled by digest as chunks.  Where more than a thousandth of
-    the rows share a payload, their largest id is found first; rows below it
-    then travel without their payload, spread over all tasks.  An archive is
-    written under another name and renamed when complete, so a task that is
-    run again does no harm.
+    The records' digests are taken first, chunk by chunk, and who revisits whom
+    is found from these alone; groups of copies meet by ``hot_join``.  Then the
+    chunks stream into the archives in order, and each payload's digest is
+    taken again: a row whose text isn't the one that was digested is an error.
+    An archive ends at the record that fills it to ``roll`` bytes.
     """
-    spark = pages.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), bytes_of(html).alias("body"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("body"))).withColumn("n", F.octet_length("body").cast("long"))
-    groups = rows.select("digest", "page", "n").filter(F.col("n") >= least).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page").alias("newest"))
-    hot = groups.filter(F.col("copies") > max(1000, pages.count() // HOT_SHARE)).select("digest", "newest")
-    rows = rows.join(F.broadcast(hot), "digest", "left")
-    old = F.col("newest").isNotNull() & (F.coalesce(F.col("page"), F.col("newest") - 1) < F.col("newest"))
-    one = F.coalesce(old, F.lit(False))
-    rows = rows.withColumn("old", one).withColumn("body", F.when(one, F.lit(b"")).otherwise(F.col("body")))
-    chunks = F.expr(f"transform(sequence(0, greatest(1, cast(ceil(octet_length(body) / {chunk}) as int)) - 1), i -> substring(body, i * {chunk} + 1, {chunk}))")
-    rows = rows.select("page", "url", "digest", "n", "row", "old", "newest", F.posexplode(chunks).alias("no", "chunk"))
-    key = F.when(F.col("old"), F.xxhash64("row")).otherwise(F.xxhash64("digest"))
-    # by digest, the newest page first; a record's chunks stay together
-    rows = rows.withColumn("key", key).repartition(parts, "key").sortWithinPartitions("key", "digest", F.col("page").desc_nulls_last(), "row", "no")
+    chunks = record_chunks(pages, page_id, url, html, chunk)
+    records = cut(record_digests(chunks))
+    groups = cut(records.filter(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page", -F.col("row"))).alias("best"), F.count("*").alias("copies")))
+    large = hot_join(records.filter(F.col("n") >= least), groups, ["digest"], "copies", records.count())
+    own = -F.col("best.col2") == F.col("row")
+    roles = large.select("row", "n", "digest", F.lit(True).alias("grouped"), (~own).alias("revisit"), F.col("best.page").alias("newest"))
+    roles = roles.unionByName(records.filter(F.col("n") < least).select("row", "n", "digest", F.lit(False).alias("grouped"), F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("newest")))
+    rows = chunks.join(roles, "row").sortWithinPartitions("row", "no")
 
     def write(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        name, began = f"part-{part:05d}.warc.gz", f".part-{part:05d}-{uuid.uuid4().hex}"
-        files, base = fs.FileSystem.from_uri(folder)
-        n = 0
-        with files.open_output_stream(f"{base}/{began}", compression=None) as out:
-            squeeze = None
-            group, first = None, None
-            for b in batches:
-                for page, url, digest, size, row, old, newest, no, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if no == 0:
-                        if squeeze:
-                            out.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-                        squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        kind, refers, record = "response", None, _record_id("page", page, row, digest)
-                        if old:
-                            kind, refers = "revisit", (_record_id("response", newest, digest), str(newest))
-                        elif size >= least and digest == group:
-                            kind, refers = "revisit", first
-                        elif size >= least:
-                            record = _record_id("response", page, digest)
-                            group, first = digest, (record, "" if page is None else str(page))
-                        else:
-                            group = None
-                        out.write(squeeze.compress(_head(kind, record, base64.b32encode(digest).decode(), _clean(url), size, "" if page is None else str(page), refers)))
-                        n += 1
-                    if kind == "response":
-                        out.write(squeeze.compress(data))
-            if squeeze:
-                out.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-        if n:
-            files.move(f"{base}/{began}", f"{base}/{name}")
-        else:
-            files.delete_file(f"{base}/{began}")
-        yield pa.RecordBatch.from_arrays([pa.array([name] if n else [], pa.string()), pa.array([n] if n else [], pa.int64())], names=["name", "records"])
+        archives = _Archives(folder, TaskContext.get().partitionId(), level, roll)
+        sha = None
+        for b in batches:
+            for row, page, url, n, digest, grouped, revisit, newest, last, no, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if no == 0:
+                    sha = hashlib.sha1()
+                    record = _record_id("response", page, digest) if grouped and not revisit else _record_id("page", page, row, digest)
+                    refers = (_record_id("response", newest, digest), "" if newest is None else str(newest)) if revisit else None
+                    archives.begin(_head("revisit" if revisit else "response", record, base64.b32encode(digest).decode(), _clean(url), n, "" if page is None else str(page), refers))
+                sha.update(data)
+                if not revisit:
+                    archives.write(data)
+                if last:
+                    if sha.digest() != digest:
+                        raise ValueError(f"the row of page {page} has changed while it was written")
+                    archives.end()
+        archives.close()
+        cols = list(zip(*archives.made, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["name", "records"])
 
     files, base = fs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
-    named = rows.select("page", "url", "digest", "n", "row", "old", "newest", "no", "chunk").mapInArrow(write, "name string, records long").collect()
+    named = rows.select("row", "page", "url", "n", "digest", "grouped", "revisit", "newest", "last", "no", "chunk").mapInArrow(write, "name string, records long").collect()
     return sorted(f"{folder}/{r.name}" for r in named)
 
 
@@ -212,9 +258,10 @@ def records(raw, archive: str, chunk: int = CHUNK, payload: bool = True) -> Iter
         place += 1
 
 
-def read_archives(spark: SparkSession, archives: list[str], chunk: int = CHUNK, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, archives: list[str], chunk: int = CHUNK, payload: bool = True, check: bool = False) -> DataFrame:
     """The chunked record table of ``archives``; without payload the bytes are
-    read and digested but not passed on.  A broken archive is an error."""
+    read and digested but not passed on.  A broken archive is an error, and with
+    ``check`` also a response whose length or digest isn't what its head states."""
     schema = CHUNKS
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
@@ -225,6 +272,8 @@ def read_archives(spark: SparkSession, archives: list[str], chunk: int = CHUNK,
                 with files.open_input_stream(base, compression=None, buffer_size=1 << 20) as raw:
                     held, size = [], 0
                     for row in records(raw, path, chunk, payload):
+                        if check and row[5] and row[6] == "response" and (row[4], row[3]) != (row[9], row[10]):
+                            raise ValueError(f"{path}: {row[0]} isn't what its head states")
                         held.append(row)
                         size += len(row[2] or b"") + 400
                         if size > 8 * chunk:
@@ -255,12 +304,11 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     revisit has no payload, and its own head states them.
     """
     archives = write_archives(pages, shared_uri(pages.sparkSession), **options)
-    last = read_archives(pages.sparkSession, archives, payload=False).filter("last")
+    last = read_archives(pages.sparkSession, archives, payload=False, check=True).filter("last")
     response = F.col("record_type") == "response"
-    broken = response & ((F.col("payload_digest") != F.col("stated_digest")) | (F.col("payload_bytes") != F.col("stated_bytes")))
     return last.select(
         F.col("source_id").cast("long").alias("page_id"),
-        F.when(broken, F.raise_error(F.concat(F.lit("digest mismatch in "), F.col("record_id"))).cast("long")).when(response, F.col("payload_bytes")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("payload_bytes")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
         F.when(response, F.col("payload_digest")).otherwise(F.col("stated_digest")).alias("payload_digest"),
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),

@@ -36,6 +36,8 @@ def test_archives_give_back_payloads_and_revisits(spark, tmp_path):
                 assert got[0].source_id == str(top)
                 revisits = [p[0] for p in by_record.values() if p[0].record_type == "revisit" and p[0].stated_digest == got[0].stated_digest]
                 assert len(revisits) == len(own) - 1 and {r.refers_to_id for r in revisits} <= {got[0].record_id}
+    many = warc.write_archives(pages, f"file://{tmp_path}/rolled", roll=1, chunk=1000)
+    assert len(many) == len(rows) and warc.read_archives(spark, many).filter("last").count() == len(rows)
     assert warc.round_trip(pages).count() == len(rows) and warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -103,6 +105,23 @@ def test_best_fit_equals_a_plain_search():
     assert fill == used
 
 
+def test_the_cheapest_expectation_is_packed():
+    pick = random.Random(7)
+    for caps in ((16, 32, 64), (8, 64)):
+        sizes = sorted((pick.randint(1, max(caps)) for _ in range(200)), reverse=True)
+        costs = []
+        for filled in packing.EXPECTED:
+            _, _, used = packing.best_fit(sizes, caps, filled)
+            costs.append(sum(packing.price(min(c for c in caps if c >= u)) for u in used))
+        bin_of, place, down = packing.pack(sizes, caps)
+        assert sum(map(packing.price, down)) == min(costs)
+        fill = [0] * len(down)
+        for n, b, p in zip(sizes, bin_of, place, strict=True):
+            assert p == fill[b]
+            fill[b] += n
+        assert all(f <= c and c == min(x for x in caps if x >= f) for f, c in zip(fill, down, strict=True))
+
+
 def test_packing_places_each_word_once(spark):
     rows = [(i, "w " * n, 1) for i, n in enumerate([0, 1, 5, 300, 4095, 4096, 9000, 50, 50])] + [(7, "w " * 50, 1), (None, "a b", 1), (20, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
@@ -188,3 +207,19 @@ def test_common_subsequences_and_hashes():
     lists = substring._split(texts)
     assert [len(x) for x in lists] == [3, 0, 1, 2]
     assert lists[0][1] == lists[2][0] and lists[0][2] == lists[3][0] == substring.word_hashes(b"three")[0]
+
+
+def test_hot_payloads_and_hot_rows_of_one_page(spark, tmp_path):
+    rows = [(7 if i % 2 else i, "u", "same" if i % 3 else f"own {i}") for i in range(24_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(pages).filter("payload_bytes = 4")
+    assert got.count() == 16_000 and got.filter("record_type = 'response'").collect()[0].page_id == 23_998
+    assert got.filter("record_type = 'revisit' AND refers_to = 23998").count() == 15_999
+
+
+def test_digests_grow_by_chunk(spark):
+    pages = spark.createDataFrame([(1, "u", "abc" * 1000), (2, "u", None), (3, "u", "é" * 999)], "page_id long, url string, html string")
+    chunks = warc.record_chunks(pages, chunk=100)
+    assert chunks.selectExpr("max(octet_length(chunk))").first()[0] == 100
+    got = {r.page: (r.n, bytes(r.digest)) for r in warc.record_digests(chunks).collect()}
+    assert got == {p: (len(b), hashlib.sha1(b).digest()) for p, b in ((1, b"abc" * 1000), (2, b""), (3, "é".encode() * 999))}
