@@ -68,3 +68,12 @@ def test_nulls_empty_texts_and_clashing_columns(spark):
     assert mixed.columns == docs.columns
     assert sum(r.taken for r in rows) == 2 * mixed.filter("text = 'one two'").count()
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_runs_change_nothing(spark, monkeypatch):
+    """A size that holds most rows is ordered in runs between its ids; null ids and repeated rows among them."""
+    rows = [(i * 7919 % 1000 if i % 20 else None, "w " * (5 if i % 4 else i % 30), "ab"[i % 7 == 0], 0, 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = sorted(map(tuple, mixing.mixed(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 50)
+    assert sorted(map(tuple, mixing.mixed(docs).collect()), key=str) == whole
