@@ -46,16 +46,27 @@ def unique_coordinates(values: Column, tolerance: float = LAYOUT["coordinate"])
     return F.aggregate(F.array_sort(values), F.array().cast("array<double>"), step)
 
 
-def in_box(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = ("x0", "top", "x1", "bottom")) -> DataFrame:
-    """Points with the boxes of the same ``keys`` that hold them, edges included."""
+def _bins(low: Column, high: Column, width: float | None) -> Column:
+    """The bins that a range lies in; one for all without a width."""
+    return F.explode(F.sequence(F.floor(low / width), F.floor(F.greatest(low, high) / width)) if width else F.array(F.lit(0).cast("long"))).alias("_bin")
+
+
+def _bin(value: Column, width: float | None) -> Column:
+    return F.floor(value / width) if width else F.lit(0).cast("long")
+
+
+def in_box(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = ("x0", "top", "x1", "bottom"), width: float | None = None) -> DataFrame:
+    """Points with the boxes of the same ``keys`` that hold them, edges included.
+    With a ``width``, about that of a box, points meet the boxes near them only."""
     x0, top, x1, bottom = box
-    return points.join(boxes, keys).filter(F.col(x).between(F.col(x0), F.col(x1)) & F.col(y).between(F.col(top), F.col(bottom)))
+    near = points.withColumn("_bin", _bin(F.col(x), width)).join(boxes.select("*", _bins(F.col(x0), F.col(x1), width)), [*keys, "_bin"]).drop("_bin")
+    return near.filter(F.col(x).between(F.col(x0), F.col(x1)) & F.col(y).between(F.col(top), F.col(bottom)))
 
 
-def outside(points: DataFrame, spans: DataFrame, key: str, value: str, low: str, high: str) -> DataFrame:
-    """Points that no span of their ``key`` holds."""
-    other = spans.select(F.col(key).alias("_k"), F.col(low).alias("_lo"), F.col(high).alias("_hi"))
-    return points.join(other, (F.col(key) == F.col("_k")) & F.col(value).between(F.col("_lo"), F.col("_hi")), "left_anti")
+def outside(points: DataFrame, spans: DataFrame, key: str, value: str, low: str, high: str, width: float | None = None) -> DataFrame:
+    """Points that no span of their ``key`` holds; ``width`` as for ``in_box``."""
+    other = spans.select(F.col(key).alias("_k"), F.col(low).alias("_lo"), F.col(high).alias("_hi"), _bins(F.col(low), F.col(high), width))
+    return points.join(other, (F.col(key) == F.col("_k")) & (_bin(F.col(value), width) == F.col("_bin")) & F.col(value).between(F.col("_lo"), F.col("_hi")), "left_anti")
 
 
 def nearest_before(df: DataFrame, keys: list[str], order: list[str], is_target: Column, is_source: Column, value: str) -> DataFrame:

@@ -525,7 +525,7 @@ SELECT b.event_id AS box, count(*) AS words FROM events e JOIN b ON e.user_id =
 def words_in_box(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     boxes = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("box"), (F.col("value") - 5).alias("x0"), (F.col("value") + 5).alias("x1"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"))
-    inside = geometry.in_box(e.select("user_id", F.col("value").alias("cx"), F.lit(0.0).alias("cy")), boxes, ["user_id"], "cx", "cy")
+    inside = geometry.in_box(e.select("user_id", F.col("value").alias("cx"), F.lit(0.0).alias("cy")), boxes, ["user_id"], "cx", "cy", width=10.0)
     return inside.groupBy("box").agg(F.count("*").alias("words"))
 
 
@@ -535,7 +535,7 @@ SELECT o_orderkey FROM orders o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELEC
 def outside_words(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     spans = o.filter("o_orderstatus = 'F'").select("o_custkey", (F.col("o_totalprice") - 1000).alias("lo"), (F.col("o_totalprice") + 1000).alias("hi"))
-    return geometry.outside(o.filter("o_orderstatus <> 'F'"), spans, "o_custkey", "o_totalprice", "lo", "hi").select("o_orderkey")
+    return geometry.outside(o.filter("o_orderstatus <> 'F'"), spans, "o_custkey", "o_totalprice", "lo", "hi", 2000.0).select("o_orderkey")
 
 
 @query("""
