@@ -3,6 +3,7 @@ folder, joins that survive hot keys, and small column expressions."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are over: it does so
+    when the driver's garbage is collected, which may be long after a cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared folder, whatever file system that is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
