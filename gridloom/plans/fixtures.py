@@ -464,6 +464,34 @@ cases(
         ([MULTI, FORM], FILE), ([MULTI, FORM, 1], FILE), ([MULTI, FORM, 7], FILE), ([MULTI, FORM[:-6]], ERROR), ([MULTI, FORM, 7, 3], ERROR), (["multipart/form-data", FORM], ERROR), (["text/plain", "x"], ERROR),
     ],
 )
+
+
+def _artifacts(folder):
+    saved = corpus.SavedCorpus(folder / "c" / "corpus.txt", folder / "c" / "blocks.json", folder / "c" / "sources.json", "request", "content", 1)
+    for path, value in ((saved.corpus_path, "Text\n"), (saved.blocks_path, '[{"type": "paragraph"}]'), (saved.sources_path, '[{"kind": "pdf"}]')):
+        corpus.write_atomically(path, value)
+    return service.artifacts(saved)
+
+
+cases("extract_answers", partial(_in_folder, _artifacts), [([], {"corpus_id": "c", "request_key": "request", "content_key": "content", "source_count": 1, "blocks": [{"type": "paragraph"}], "corpus_text": "Text\n", "sources": [{"kind": "pdf"}]})])
+PLAIN = {"strategy": "words", "chunk_size": 450, "chunk_overlap": 60, "min_text_chunk_size": 100, "max_text_page_span": 2}
+cases("chunk_requests", lambda body: service.chunk_options(body), [([{"blocks": []}], PLAIN), ([{"blocks": [], "chunk_size": 3, "chunk_overlap": 1}], PLAIN | {"chunk_size": 3, "chunk_overlap": 1}), ([{}], ERROR), ([{"blocks": [], "chunk_overlap": 450}], ERROR), ([{"blocks": [], "chunk_size": 0}], ERROR), ([{"blocks": [], "chunk_size": "3"}], ERROR), ([{"blocks": [], "min_text_chunk_size": -1}], ERROR), ([{"blocks": [], "max_text_page_span": 0}], ERROR), ([{"blocks": [], "chunk_size": True}], ERROR)])
+
+
+def _extract_request(files, found):
+    with tempfile.TemporaryDirectory() as folder:
+        paths = []
+        for i, (name, size) in enumerate(files):
+            paths.append((name, Path(folder, str(i))))
+            paths[-1][1].write_bytes(b"x" * size)
+        limits = SimpleNamespace(files=2, file_bytes=9, urls=1, allow_urls=False)
+        try:
+            service.extract(None, limits, paths, found)
+        except service.Refused as e:
+            return e.status
+
+
+cases("refused_extracts", _extract_request, [([[], []], 422), ([[["a.pdf", 1]], ["https://a.org"]], 422), ([[["a.txt", 1]], []], 422), ([[["a.pdf", 10]], []], 413), ([[["a.pdf", 1]] * 3, []], 413), ([[], ["https://a.org"]], 403), ([[], ["https://a.org"] * 2], 413)])
 OPEN = {"type": "object", "required": ["missing"]}
 
 

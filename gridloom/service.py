@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession
 from . import __version__, api
 from .functions import jsonschema
 from .functions.jsonschema import SchemaError
+from .sources.corpus import SavedCorpus
 
 
 def positive(name: str, default, kind: type = int):
@@ -83,6 +84,8 @@ def extract(spark: SparkSession, limits: Limits, files: list[tuple[str, Path]],
         raise Refused(422, "give either files or urls")
     with tempfile.TemporaryDirectory() as folder:
         if urls:
+            if len(urls) > limits.urls:
+                raise Refused(413, f"at most {limits.urls} URLs are accepted")
             if not limits.allow_urls:
                 raise Refused(403, "URLs are switched off")
             sources = urls
@@ -100,18 +103,36 @@ def extract(spark: SparkSession, limits: Limits, files: list[tuple[str, Path]],
                 path.replace(target)
                 sources.append(str(target))
         saved = api.extract_corpus(spark, sources, Path(folder, "out"), source_type="html" if urls else "pdf", max_pdf_files=limits.files, max_pdf_file_bytes=limits.file_bytes, max_url_pages=limits.urls, url_timeout_seconds=limits.timeout, max_url_page_bytes=limits.page_bytes)
-        return {"blocks": json.loads(saved.blocks_path.read_text()), "sources": json.loads(saved.sources_path.read_text()), "text": saved.corpus_path.read_text(), "contentKey": saved.content_key}
+        return artifacts(saved)
+
+
+def artifacts(saved: SavedCorpus) -> dict:
+    """A saved corpus as one answer."""
+    read = lambda path: path.read_text(encoding="utf-8")
+    keys = {"corpus_id": saved.blocks_path.parent.name, "request_key": saved.request_key, "content_key": saved.content_key, "source_count": saved.source_count}
+    return keys | {"blocks": json.loads(read(saved.blocks_path)), "corpus_text": read(saved.corpus_path), "sources": json.loads(read(saved.sources_path))}
+
+
+def chunk_options(body: dict) -> dict:
+    """The options of a chunk request, checked."""
+    if not isinstance(body.get("blocks"), list):
+        raise Refused(422, "blocks must be a JSON list")
+    found = {"strategy": body.get("strategy", "words")}
+    for name, default, least in (("chunk_size", 450, 1), ("chunk_overlap", 60, 0), ("min_text_chunk_size", 100, 0), ("max_text_page_span", 2, 1)):
+        value = found[name] = body.get(name, default)
+        if isinstance(value, bool) or not isinstance(value, int) or value < least:
+            raise Refused(422, f"{name} must be a whole number of at least {least}")
+    if found["chunk_overlap"] >= found["chunk_size"]:
+        raise Refused(422, "chunk_overlap must be below chunk_size")
+    return found
 
 
 def chunks(spark: SparkSession, body: dict) -> dict:
-    size, overlap = body.get("chunk_size", 450), body.get("chunk_overlap", 60)
-    if overlap >= size:
-        raise Refused(422, "chunk_overlap must be below chunk_size")
-    rows = api.build_chunks(spark, body.get("blocks", []), chunk_size=size, chunk_overlap=overlap, min_text_chunk_size=body.get("min_text_chunk_size", 100), max_text_page_span=body.get("max_text_page_span", 2))
+    rows = api.build_chunks(spark, body.get("blocks"), **chunk_options(body))
     found = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None and k != "corpus_id"} for r in rows.orderBy("id").collect()]
     if not found:
         raise Refused(422, "no chunks could be made")
-    return {"chunks": found}
+    return {"count": len(found), "chunks": found}
 
 
 def handle(spark: SparkSession, limits: Limits, path: str, body: dict, files: list[tuple[str, Path]] = (), urls: list[str] = ()) -> dict:
@@ -227,7 +248,7 @@ def server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000) -> Th
             self.wfile.write(data)
 
         def do_GET(self):
-            found = {"/health": {"status": "ok"}, "/status": {"status": "ok", "version": __version__, "build": build}}.get(self.path)
+            found = {"/health": {"status": "ok"}, "/status": {"status": "UP", "git": {"commit": {"id": {"abbrev": build["commit"]}, "time": build["commitTime"]}}, "version": __version__, "build": build}}.get(self.path)
             self.answer(200 if found else 404, found or {"detail": "there is no such path"})
 
         def do_POST(self):
