@@ -58,6 +58,11 @@ def cases(name: str, f: Callable, expected: list[tuple[list, object]]) -> None:
     ORACLES[name] = f'SELECT n::INTEGER AS n, result FROM (VALUES {_values([(i, json.dumps(want, ensure_ascii=False)) for i, (_, want) in enumerate(expected)])}) t(n, result)'
 
 
+def _in_folder(f: Callable, *args):
+    with tempfile.TemporaryDirectory() as folder:
+        return f(Path(folder), *args)
+
+
 def drawn(spec: str) -> list[lay.Word]:
     """Words of a drawing: text@x0,top,x1,bottom, with bars between; a trailing r is rotated."""
     out = []
@@ -300,6 +305,47 @@ def _versions(rows):
 AFTER = [["Turbo", "dízel (130 LE)", "6-fokozatú automata 8-fokozatú automata", "1", "2", "3", "5000"], ["GS", "", "", "", "", "", ""], ["Edition Hybrid", "145 LE", "6-fokozatú automata", "1", "2", "3", "7000"]]
 cases("versions_of_tables", _versions, [([AFTER], [["GS", "GS_DIESEL_130_AT8", 5000.0], ["Edition", "EDITION_HYBRID_145_AT6", 7000.0]]), ([[AFTER[0]]], ERROR)])
 
+
+
+def _linked_file(folder, draft, schema=None, codes=None):
+    source, target = folder / "draft.json", folder / "out" / "linked.json"
+    source.write_text(json.dumps(draft), encoding="utf-8")
+    if schema:
+        (folder / "schema.json").write_text(json.dumps(schema), encoding="utf-8")
+    returned = my.link_file(source, target, schema and folder / "schema.json", codes)
+    found = json.loads(target.read_text(encoding="utf-8"))
+    return found if found == returned else None
+
+
+NAMED = {"type": "object", "required": ["name"], "properties": {"versions": {"type": "array"}}}
+cases("linked_files", partial(_in_folder, _linked_file), [([DRAFT], LINKED), ([DRAFT, NAMED], LINKED), ([DRAFT, {"required": ["other"]}], ERROR), ([DRAFT, None, ["a b"]], ERROR), ([{"versions": []}], ERROR)])
+
+
+def _built_file(folder, name=None, schema=None):
+    source, target = folder / "blocks.json", folder / "built.json"
+    source.write_text(json.dumps(brochure()), encoding="utf-8")
+    if schema:
+        (folder / "schema.json").write_text(json.dumps(schema), encoding="utf-8")
+    my.build_file(source, target, schema and folder / "schema.json", name=name)
+    found = json.loads(target.read_text(encoding="utf-8"))
+    return [found["name"], len(found["versions"])]
+
+
+cases("built_files", partial(_in_folder, _built_file), [([], ["Astra MY26B", 9]), (["Other", NAMED], ["Other", 9]), ([None, {"required": ["other"]}], ERROR)])
+
+
+
+def _coded(rows, merge=False, marker="", code="c1"):
+    from ..operators.profiles import PROFILES
+
+    versions = [V(trimLabel=t, engineLabel="Hybrid") for t in TRIMS]
+    found = my.spec_option(my.Spec("a", code=code, merge=merge, marker=marker), [{"type": "paragraph", "text": "C1"}, {"type": "table", "rows": rows}], versions, PROFILES[0])
+    return found and found["versionStatus"]
+
+
+TWICE = [["C1", "", "", "•", "-", "-"], ["C2", "", "", "•", "•", "•"], ["c1 ", "", "AT", "5 Ft", "7 Ft", "-"]]
+cases("options_of_codes", _coded, [([TWICE], [S, N, N]), ([TWICE, True], [S, O(7.0), N]), ([TWICE, False, "at"], [O(5.0), O(7.0), N]), ([TWICE, False, "", "C9"], None)])
+
 # JSON Schema ----------------------------------------------------------------------------
 
 SCHEMA = {
@@ -342,11 +388,6 @@ def _fetched(final, kind, size, most=100, charset=None):
 cases("fetched_pages", _fetched, [(["https://a.org/end", "text/html", 2], [["https://a.org", "https://a.org/end", "éé"]]), (["https://a.org", "text/html", 2, 100, "latin-1"], [["https://a.org", "https://a.org", "éé"]]), (["https://a.org", "text/html", 2, 100, "unknown"], [["https://a.org", "https://a.org", "éé"]]), (["https://a.org", "application/json", 2], ERROR), (["file:///x", "text/html", 2], ERROR), (["https://a.org", "text/html", 60, 100], ERROR)])
 
 
-def _in_folder(f, *args):
-    with tempfile.TemporaryDirectory() as folder:
-        return f(Path(folder), *args)
-
-
 def _pdf_paths(folder, names, options):
     for name, body in (("a.pdf", b"%PDF-1.7 same"), ("b.PDF", b"%PDF-1.7 same"), ("c.pdf", b"not one"), ("d.txt", b"%PDF-")):
         (folder / name).write_bytes(body)

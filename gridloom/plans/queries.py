@@ -313,6 +313,19 @@ def page_provenance(spark, d):
     return found.select("corpus_id", F.col("_pos").alias("first_turn"), F.col("_local").alias("local_id"), "page", F.coalesce(F.size("pages"), F.lit(1)).cast("long").alias("n_pages"))
 
 
+@query(
+    _GROUPS_40
+    + f""", j AS (SELECT conv_id, g, min(turn) AS first_turn, string_agg(x, chr(10) || chr(10) ORDER BY n) FILTER (WHERE x <> '') AS src FROM f GROUP BY conv_id, g),
+e AS (SELECT conv_id, g, page, sum({_count_sql("x")}) OVER (PARTITION BY conv_id, g ORDER BY n) AS hi, {_count_sql("x")} AS c FROM f),
+k AS (SELECT *, unnest(range(0, (greatest(0, ceil(({_count_sql("src")} - 40) / 30.0::DOUBLE)) + 1)::BIGINT)) AS id FROM j WHERE {_count_sql("src")} > 0)
+SELECT k.conv_id::VARCHAR AS corpus_id, first_turn, k.id::INTEGER AS local_id, 'chat' AS source_name, NULL::VARCHAR AS source_url, 'text' AS block_type, CASE WHEN count(DISTINCT page) > 1 THEN min(page) END AS page_start, CASE WHEN count(DISTINCT page) > 1 THEN max(page) END AS page_end, NULL::VARCHAR AS table_id
+FROM k JOIN e ON e.conv_id = k.conv_id AND e.g = k.g AND e.c > 0 AND e.hi > k.id * 30 AND e.hi - e.c < least(k.id * 30 + 40, {_count_sql("src")}) GROUP BY 1, 2, 3"""
+)
+def chunk_metadata(spark, d):
+    found = chunking.text_chunks(_plain(spark, d), 40, 10, 100, 2)
+    return found.select("corpus_id", F.col("_pos").alias("first_turn"), F.col("_local").alias("local_id"), "source_name", "source_url", "block_type", "page_start", "page_end", "table_id")
+
+
 @query(f"""
 SELECT conv_id::VARCHAR AS corpus_id, coalesce(string_agg(NULLIF(x, ''), chr(10) || chr(10) ORDER BY turn), '') || chr(10) AS text, len(coalesce(string_agg(NULLIF(x, ''), chr(10) || chr(10) ORDER BY turn), ''))::INTEGER AS characters
 FROM (SELECT conv_id, turn, {_clean_sql('text')} AS x FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (WHERE x <> '') > 0""")
@@ -672,6 +685,37 @@ def pdf_rows(spark, d):
     return found.select("corpus_id", "block_pos", "type", F.coalesce("text", "caption").alias("shown"))
 
 
+@query("SELECT * FROM (VALUES (1, true, 2::BIGINT, 'pdf', 'sources/01_a.pdf', 2)) t(opened, same, blocks, kind, stored, pages)")
+def cached_pdf_corpus(spark, d):
+    """A file and a renamed copy of it: the second request is answered without reading."""
+    opened: list[Path] = []
+
+    def open_file(path: Path):
+        opened.append(path)
+        return fixtures.FakeDocument([["first@0,10,20,17", []], ["second@0,10,20,17", []]])
+
+    with tempfile.TemporaryDirectory() as folder:
+        for name in ("a.pdf", "copy.pdf"):
+            Path(folder, name).write_bytes(b"%PDF-1.7 same")
+        one, two = (pdf.prepare_pdf_corpus(spark, [str(Path(folder, n))], Path(folder, "out"), open_file=open_file) for n in ("a.pdf", "copy.pdf"))
+        source = json.loads(one.sources_path.read_text(encoding="utf-8"))[0]
+        found = (len(opened), one == two, len(json.loads(one.blocks_path.read_text(encoding="utf-8"))), source["kind"], source["stored_file"], source["pages"])
+        assert (one.blocks_path.parent / source["stored_file"]).read_bytes() == b"%PDF-1.7 same"
+    return spark.createDataFrame([found], "opened int, same boolean, blocks long, kind string, stored string, pages int")
+
+
+@query("SELECT * FROM (VALUES (1, 'https://a.org', 'https://a.org/end', 'Specs', 'html', 10::BIGINT), (2, 'https://b.org', 'https://b.org', 'https://b.org', 'html', 10)) t(source, requested_url, final_url, title, kind, blocks)")
+def web_corpora(spark, d):
+    """Two fetched pages saved as one corpus; the second has no title."""
+    pages = [("https://a.org", "https://a.org/end", fixtures.TABLE_PAGE), ("https://b.org", "https://b.org", "<h1>Head</h1><p>one</p><p>two</p><p>three</p>")]
+    with tempfile.TemporaryDirectory() as folder:
+        saved = api.web_corpus(spark, pages, folder, "request")
+        sources = json.loads(saved.sources_path.read_text(encoding="utf-8"))
+        blocks = len(corpus.load_blocks(spark, saved.blocks_path).collect())
+    rows = [(x["source"], x["requested_url"], x["final_url"], x["title"], x["kind"], blocks) for x in sources]
+    return spark.createDataFrame(rows, "source int, requested_url string, final_url string, title string, kind string, blocks long")
+
+
 _PRICE = "CASE WHEN v < 6 THEN [9990000, 10990000, 12190000][v // 2 + 1] ELSE [9990000, 10990000, 12190000][v - 5] END::DOUBLE"
 _CODE = "CASE WHEN v < 6 THEN ['EDITION', 'GS', 'ULTIMATE'][v // 2 + 1] || ['_HYBRID_145_AT6', '_DIESEL_130_AT8'][v % 2 + 1] ELSE ['EDITION', 'GS', 'ULTIMATE'][v - 5] || '_PHEV_195_AT7' END"
 
