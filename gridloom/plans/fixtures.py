@@ -542,6 +542,20 @@ def _model_year_request(body):
 
 cases("model_year_requests", _model_year_request, [([{}], "Astra MY26B"), ([{"schema": {"type": "object", "required": ["name"]}}], "Astra MY26B"), ([{"schema": OPEN}], ERROR), ([{"profile": "other"}], ERROR), ([{"blocks": []}], ERROR), ([{"blocks": None}], ERROR)])
 
+
+
+def _command(folder, draft, *options):
+    from .. import __main__ as command
+
+    source = folder / "draft.json"
+    if draft is not None:
+        source.write_text(json.dumps(draft), encoding="utf-8")
+    code = command.main(["link", str(source), str(folder / "linked.json"), *options])
+    return [code, json.loads((folder / "linked.json").read_text(encoding="utf-8")) if code == 0 else None]
+
+
+cases("command_line", partial(_in_folder, _command), [([DRAFT], [0, LINKED]), ([None], [1, None]), ([{"versions": []}], [1, None]), ([DRAFT, "--codes", "a"], [1, None])])
+
 # HTML -------------------------------------------------------------------------------------------
 
 TABLE_PAGE = (

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import api
+from .. import api, service
 from ..functions import jsonschema, sql
 from ..functions import text as t
 from ..operators import blocks as b
@@ -716,6 +716,13 @@ def web_corpora(spark, d):
     return spark.createDataFrame(rows, "source int, requested_url string, final_url string, title string, kind string, blocks long")
 
 
+@query("SELECT * FROM (VALUES (0, 'one two three', 2), (1, 'three four', 2)) t(id, text, count)")
+def chunk_answers(spark, d):
+    block = {"type": "paragraph", "text": "one two three four", "source_name": "s"}
+    answer = service.handle(spark, service.Limits(), "/v1/chunks", {"blocks": [block], "chunk_size": 3, "chunk_overlap": 1})
+    return spark.createDataFrame([(c["id"], c["text"], answer["count"]) for c in answer["chunks"]], "id int, text string, count int")
+
+
 _PRICE = "CASE WHEN v < 6 THEN [9990000, 10990000, 12190000][v // 2 + 1] ELSE [9990000, 10990000, 12190000][v - 5] END::DOUBLE"
 _CODE = "CASE WHEN v < 6 THEN ['EDITION', 'GS', 'ULTIMATE'][v // 2 + 1] || ['_HYBRID_145_AT6', '_DIESEL_130_AT8'][v % 2 + 1] ELSE ['EDITION', 'GS', 'ULTIMATE'][v - 5] || '_PHEV_195_AT7' END"
 
