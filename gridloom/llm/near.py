@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, salted_join
+from .common import cut, hot_join, release, salted_join
 from .simhash import _BITS, MOST_BITS, _hashes, components, keep_rows, keyed, links
 
 SHINGLE_WORDS = 5
@@ -24,11 +24,14 @@ LEAST_ALIKE = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Members of a band's bucket up to which all pairs are compared.
 BUCKET = 16
-#: In larger buckets each member is compared with the member of most company
+#: In larger buckets each member is first compared with the member of most company
 #: (which edited copies of one text share), the least one and some drawn ones.
 DRAWN = 3
-#: Members of a larger bucket among which those are drawn.
+#: Members of a larger bucket that one task looks at at once.
 CROWD = 1000
+#: Bits of 64 in which the SimHash of texts that are 0.8 alike differs at most:
+#: ten are expected, with a deviation of three.
+FAR_BITS = 26
 _PIECE = 4096
 _draw = np.random.default_rng(11)
 _FACTORS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,10 +93,12 @@ def signatures(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, fp long, keys array<long>")
 
 
-def banded(signed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes that share a band's bucket.
+def banded(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (u, v) of nodes that share a band's bucket, and the members (band,
+    key, node, n) of large buckets, if there are some.
 
-    Small buckets give all pairs.  A bucket that holds more than a thousandth
+    Small buckets give all pairs, large ones those that most likely join their
+    members; ``left_over`` has the others.  A bucket that holds more than a thousandth
     of the rows is never sorted in one task: its members meet the broadcast
     hub, and the drawn pairs come from crowds of bounded size.
     """
@@ -108,7 +113,7 @@ def banded(signed: DataFrame) -> DataFrame:
     pairs = placed.filter(f"n <= {BUCKET}").select(F.explode("near").alias("u"), F.col("node").alias("v"))
     large = cut(placed.filter(f"n > {BUCKET}").select("band", "key", "node", "n").unionByName(hot.select("band", "key", "node", "n")))
     if large.isEmpty():
-        return pairs.distinct()
+        return pairs.distinct(), None
     company = large.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = large.join(company, "node")
     hubs = ranked.groupBy("band", "key").agg(F.count("*").alias("size"), F.max_by("node", F.struct("company", -F.col("node"))).alias("hub"), F.min("node").alias("least"))
@@ -116,7 +121,26 @@ def banded(signed: DataFrame) -> DataFrame:
     crowd = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / CROWD))
     draw = Window.partitionBy("band", "key", "crowd").orderBy(F.xxhash64("node", "band"), "node").rowsBetween(-DRAWN, -1)
     drawn = large.withColumn("crowd", crowd).withColumn("us", F.collect_list("node").over(draw)).select(F.explode("us").alias("u"), F.col("node").alias("v"))
-    return pairs.unionByName(to_hubs).unionByName(drawn).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.unionByName(to_hubs).unionByName(drawn).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), large
+
+
+def left_over(large: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of members of large buckets that aren't in one group yet.
+
+    All members outside of a bucket's commonest group meet all members of
+    other groups, a crowd at a time; SimHash drops those whose bits say that
+    they can't be alike.  Where a bucket is one group there are none.
+    """
+    named = large.join(signed.select("node", "fp"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named)
+    sizes = named.groupBy("band", "key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("members")).filter("groups > 1")
+    open_ = cut(hot_join(named, cut(main), ["band", "key"], "members", named.count()))
+    crowds = F.ceil(F.col("members") / CROWD).cast("int")
+    some = open_.filter("root <> main").select("band", "key", F.col("node").alias("u"), F.col("root").alias("ur"), F.col("fp").alias("uf"), F.explode(F.sequence(F.lit(0), crowds - 1)).alias("crowd"))
+    every = open_.select("band", "key", F.col("node").alias("v"), F.col("root").alias("vr"), F.col("fp").alias("vf"), F.pmod(F.xxhash64("node"), crowds).cast("int").alias("crowd"))
+    met = some.join(every, ["band", "key", "crowd"]).filter((F.col("ur") != F.col("vr")) & (F.bit_count(F.col("uf").bitwiseXOR(F.col("vf"))) <= FAR_BITS))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def simhash_pairs(signed: DataFrame, most: int) -> DataFrame:
@@ -135,9 +159,10 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
     over others too: that with the smallest id (null ids last, then by
     SHA-256); columns unchanged.  Texts without words are alike."""
     rows = keyed(docs, doc_id, text).withColumn("_node", _node())
-    texts = rows.select(F.col("_node").alias("node"), F.col("_text").alias("text")).dropDuplicates(["node"])
-    signed = cut(signatures(texts, k))
-    pairs = cut(banded(signed).unionByName(simhash_pairs(signed, most)).distinct())
+    own = rows.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
+    signed = cut(signatures(own, k).dropDuplicates(["node"]))
+    found, large = banded(signed)
+    pairs = cut(found.unionByName(simhash_pairs(signed, most)).distinct())
 
     def compare(batches):
         for b in batches:
@@ -145,7 +170,19 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
             good = pa.array([alike(p or b"", q or b"", k) >= least for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(good)
 
-    sided = salted_join(pairs, texts.toDF("u", "x"), "u", F.col("v")).join(texts.toDF("v", "y"), "v")
-    roots = components(sided.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        # only texts of some pair travel further
+        texts = cut(own.dropDuplicates(["node"]).join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"))
+        release(docs.sparkSession)
+        sided = salted_join(pairs, texts.toDF("u", "x"), "u", F.col("v")).join(texts.toDF("v", "y"), "v")
+        return cut(sided.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"))
+
+    edges = linked(pairs)
+    roots = components(edges)
+    if large is not None:
+        more = cut(left_over(large, roots, signed).join(pairs, ["u", "v"], "left_anti"))
+        if not more.isEmpty():
+            roots = components(edges.unionByName(linked(more)))
+    release(docs.sparkSession)
     keys = rows.select("_node", "_key").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     return keep_rows(rows.drop("_node"), keys.groupBy("root").agg(F.min("_key").alias("_kept")).select("_kept"))

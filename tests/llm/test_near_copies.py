@@ -118,3 +118,38 @@ def test_the_stages_as_a_chain(spark, monkeypatch):
     assert packed.agg({"length": "sum"}).first()[0] == sum(taken.values())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_groups_in_one_bucket_are_found_whole(spark, monkeypatch):
+    """Buckets that hold chains and several groups, against all pairs."""
+    from gridloom.llm import near
+
+    monkeypatch.setattr(near, "BUCKET", 2)
+    monkeypatch.setattr(near, "DRAWN", 1)
+    monkeypatch.setattr(near, "CROWD", 7)
+    pick = random.Random(8)
+    rows = []
+    for g in range(3):
+        words = text(pick, 120).split()
+        for i in range(40):
+            rows.append((100 * g + i, " ".join(words), 1))
+            words = list(words)
+            words[pick.randrange(120)] = f"new{pick.random()}"
+            if i % 13 == 12:
+                for j in pick.sample(range(120), 9):
+                    words[j] = f"far{pick.random()}"
+    sets = [set(near.shingles(t.encode()).tolist()) for _, t, _ in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[max(root(i), root(j))] = min(root(i), root(j))
+    want = {rows[i][0] for i in range(len(rows)) if root(i) == i}
+    assert 3 < len(want) < 60
+    assert {r.doc_id for r in near.drop_near(spark.createDataFrame(rows, DOCS)).collect()} == want
