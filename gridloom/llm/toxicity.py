@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,7 +66,6 @@ PLAIN, AIMED, NEGATED, REPORTED, MENACE, IDLE, TURNED = range(7)
 NONE = -1
 #: Weights of the judge's arcs; a turned insult becomes as heavy as an aimed one.
 WEIGHTS = {PLAIN: 1.0, AIMED: 1.5, NEGATED: 0.5, REPORTED: 0.5, MENACE: 1.0, IDLE: 0.0, TURNED: 0.5, NONE: 1.0}
-HOT = 1 << 40
 #: Strength of a word of threat.
 THREAT_STRENGTH = 2.0
 FEATURES = [*EVENTS, "strength", "aimed_strength", "density", "matched_clauses", "clause_share", "top_clause", "distinct", "log_words", "top_strength", "mean_strength"]
@@ -200,7 +200,7 @@ class Lexicon(dict):
         self.stems = {f"{w}$": PRIOR for w in INSULTS.split()} | stems
         self.heads = {p[:_SHORTEST] for p in self.stems}
         self.closed = {w: (k, THREAT_STRENGTH if k == THREAT else 0.0) for k, ws in WORDS.items() for w in ws.split()}
-        self.surface = Surface(self)
+        self.triggers = Triggers(self)
         super().__init__()
 
     def __missing__(self, word: str) -> tuple[int, float]:
@@ -216,24 +216,32 @@ class Lexicon(dict):
         return found
 
 
-class Surface(dict):
-    """What stands between two spaces -> the number of words in it, plus HOT if one of them can begin an event."""
+class _Bare(dict):
+    """A table for str.translate: letters stay, all else is a space."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = found = c if chr(c).isalpha() else 32
+        return found
+
+
+_BARE = _Bare()
+
+
+class Triggers:
+    """Finds texts with a word that may begin an event: one automaton over all
+    stems and words, at the beginnings of runs of letters.  It may find too
+    many; the lexicon decides."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        super().__init__()
+        self.automaton = ahocorasick.Automaton()
+        words = [w + "$" for w, (k, _) in lexicon.closed.items() if k == THREAT]
+        for p in [*lexicon.stems, *words]:
+            key = " " + p.removesuffix("$") + (" " if p.endswith("$") else "")
+            self.automaton.add_word(key.translate(_BARE), True)
+        self.automaton.make_automaton()
 
-    def __missing__(self, written: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        words = [written] if written.isalpha() else _TOKEN.findall(written)
-        found = len(words)
-        for w in words:
-            if self.lexicon[w][0] in (INSULT, THREAT):
-                found += HOT
-                break
-        self[written] = found
-        return found
+    def within(self, text: str) -> bool:
+        return next(self.automaton.iter(f" {text} ".translate(_BARE)), None) is not None
 
 
 def _stems(word: str) -> Iterator[str]:
@@ -262,10 +270,9 @@ def clause_features(text: str, lexicon: Lexicon) -> list[float]:
     kinds: set[str] = set()
     short = len(text) <= _PIECE
     for piece in _pieces(text):
-        held = sum(map(lexicon.surface.__getitem__, piece.split()))
-        words += held % HOT
+        words += len(piece.split())
         clauses += len(_CLAUSE.findall(piece))
-        if short and held < HOT:
+        if short and not lexicon.triggers.within(piece):
             continue
         for i, clause in enumerate(_CLAUSE.split(piece)):
             if i:

@@ -196,3 +196,17 @@ def test_inflections_apostrophes_and_order():
     assert events("don’t be an idiot") == {"negated": 1}
     assert events("idiot, that is what you are") == {"aimed": 1} == events("you idiot") and events("an idiot. you are") == {"insult": 1}
     assert events("they killed time") == {} and events("he said i will kill you") == {"idle_threat": 1}
+
+
+def test_triggers_miss_no_event(monkeypatch):
+    """With and without the automaton texts have the same features."""
+    pick = random.Random(12)
+    lexicon = toxicity.Lexicon({"grob$": 3.0, "schla": 2.0, "x²y": 4.0})
+    marks = ["", ".", "!", "'s", "’s", '"', "-", "(", "_", "9", "²"]
+    known = ["grob", "Grobe", "schlamm", "KILLED", "you", "not", "x²yz", "idiot", "said", "töten", "dich", "abc", "grobschlacht"]
+    for _ in range(300):
+        text = " ".join(pick.choice(marks) + pick.choice(known if pick.random() < 0.2 else ["abc", "def"]) + pick.choice(marks) for _ in range(pick.randint(1, 12)))
+        found = toxicity.clause_features(text, lexicon)
+        monkeypatch.setattr(toxicity.Triggers, "within", lambda self, text: True)
+        assert toxicity.clause_features(text, lexicon) == found
+        monkeypatch.undo()
