@@ -375,7 +375,9 @@ def content_key(spark, d):
     return corpus.content_keys(rows)
 
 
-_ENTITIES = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_ENTITIES = "{}"
+for _code, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")):
+    _ENTITIES = f"replace({_ENTITIES}, '{_code}', '{_char}')"
 
 
 @query(f"SELECT page_id, {_clean_sql(_ENTITIES.format('regexp_extract(html, ' + repr('(?is)<title[^>]*>(.*?)</title>') + ', 1)'))} AS title FROM pages")
