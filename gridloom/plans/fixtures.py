@@ -559,8 +559,9 @@ cases("command_line", partial(_in_folder, _command), [([DRAFT], [0, LINKED]), ([
 # HTML -------------------------------------------------------------------------------------------
 
 TABLE_PAGE = (
-    "<title>Specs</title><style>p{}</style><body><nav>menu</nav><main><h1>Electrical limits</h1><table><caption>Operating range</caption><thead><tr><th rowspan='2'>Parameter</th><th colspan='2'>Limits</th></tr><tr><th>Minimum</th><th>Maximum</th></tr></thead>"
-    "<tbody><tr><td>Voltage</td><td>3.0 V</td><td>3.6 V</td></tr><tr><td>Current</td><td colspan=x>1 A</td><td>2 A</td></tr></tbody></table><ul><li>one</li><li> </li><li>two<ul><li>in</li></ul></li></ul><ol><li>a</li><li>b</li></ol><div>plain<script>no()</script></div></main>"
+    "<title>Specs</title><style>p{}</style><body><nav>menu</nav><main><h1>Pump sizes</h1><table><caption>Flow by speed</caption><thead><tr><th rowspan='2'>Pump</th><th colspan='2'>Litres</th></tr><tr><th>slow</th><th>fast</th></tr></thead>"
+    + "".join("<tr>" + "".join(f"<td{extra}>{x}</td>" for x, extra in row) + "</tr>" for row in ((("P1", ""), ("4", ""), ("9", "")), (("P2", ""), ("5", " colspan=x"), ("11", ""))))
+    + "</table><ul><li>one</li><li> </li><li>two<ul><li>in</li></ul></li></ul><ol><li>a</li><li>b</li></ol><div>plain<script>no()</script></div></main>"
 )
 
 
@@ -568,11 +569,11 @@ def _html(text, **options):
     return [[b["type"], b.get("text", b.get("caption")), b["heading_path"], b.get("headers", []), b.get("rows", [])] for b in html.page_blocks(text, "n", **options)[2]]
 
 
-PATH = ["Electrical limits"]
+PATH = ["Pump sizes"]
 cases(
     "html_fixtures", _html,
     [
-        ([TABLE_PAGE], [["heading", "Specs", [], [], []], ["heading", "Electrical limits", [], [], []], ["table", "Operating range", PATH, ["Parameter", "Limits > Minimum", "Limits > Maximum"], [["Voltage", "3.0 V", "3.6 V"], ["Current", "1 A", "2 A"]]], ["list", "- one - two in", PATH, [], []], ["list", "1. a 2. b", PATH, [], []], ["paragraph", "plain", PATH, [], []]]),
+        ([TABLE_PAGE], [["heading", "Specs", [], [], []], ["heading", "Pump sizes", [], [], []], ["table", "Flow by speed", PATH, ["Pump", "Litres > slow", "Litres > fast"], [["P1", "4", "9"], ["P2", "5", "11"]]], ["list", "- one - two in", PATH, [], []], ["list", "1. a 2. b", PATH, [], []], ["paragraph", "plain", PATH, [], []]]),
         (["<p>a<div>b</div>"], [["paragraph", "a b", [], [], []], ["paragraph", "b", [], [], []]]),
         (["just text"], [["paragraph", "just text", [], [], []]]),
         ([""], []),
