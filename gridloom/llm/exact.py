@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import boxed, bytes_of, cut, hot_join
 
 BLOCK_BYTES = 4096
+#: Keys that are broadcast at most.
+MOST_SENT = 500_000
 
 
 def _block(i: str, size: int) -> str:
@@ -33,13 +35,28 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("_name", F.monotonically_increasing_id())
 
 
+def compared(docs: DataFrame, text: str, names: DataFrame, salt: int, block_bytes: int, key_bits: int) -> DataFrame:
+    """(_key, _block) of the blocks whose key comes again: only these travel whole."""
+    again = names.filter("_copies > 1").select("_key")
+    block = F.explode(F.expr(f"transform(sequence(0, _n - 1), i -> {_block('i', block_bytes)})")).alias("_block")
+    blocks = _blocks(docs.select(F.col(text).alias("_text")), "_text", block_bytes).select(block).select(F.expr(_key("_block", salt, key_bits)).alias("_key"), "_block")
+    return blocks.join(F.broadcast(again) if again.count() <= MOST_SENT else again, "_key", "left_semi")
+
+
+def shared_keys(docs: DataFrame, text: str, names: DataFrame, salt: int, block_bytes: int, key_bits: int) -> DataFrame:
+    """Keys that several distinct blocks have."""
+    distinct = compared(docs, text, names, salt, block_bytes, key_bits).groupBy("_key", "_block").agg(F.count("*").alias("_copies"))
+    return distinct.groupBy("_key").count().filter("count > 1")
+
+
 def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, key_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: _rid (unique), doc_id, _sha (SHA-256 of the
     text), _level and _name, which are equal for equal texts only.
 
-    Blocks travel to their names under a 64-bit key.  The distinct blocks are
-    compared whole, and if two of them share a key, all is keyed anew with
-    another salt: the names never rest on a hash being free of collisions.
+    Blocks have their names by a 64-bit key.  The distinct blocks of each key that
+    comes again are compared whole (a key that comes once has one block), and if
+    two of them share it, all is keyed anew with another salt: the names never
+    rest on a hash being free of collisions.
     Empty and null texts are one empty block; an empty table gives no rows.
     """
     for salt in range(64):
@@ -49,14 +66,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
                 F.expr(f"transform(sequence(0, _n - 1), i -> {_key(_block('i', block_bytes), salt, key_bits)})").alias("_keys"),
             )
         )
-        distinct = (
-            _blocks(docs.select(F.col(text).alias("_text")), "_text", block_bytes)
-            .select(F.explode(F.expr(f"transform(sequence(0, _n - 1), i -> {_block('i', block_bytes)})")).alias("_block"))
-            .groupBy(F.expr(_key("_block", salt, key_bits)).alias("_key"), "_block")
-            .agg(F.count("*").alias("_copies"))
-        )
-        names = cut(_named(distinct, ["_key", "_block"]).select("_key", "_name", "_copies"))
-        if names.groupBy("_key").count().filter("count > 1").isEmpty():
+        names = cut(_named(rows.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count("*").alias("_copies")), ["_key"]))
+        if shared_keys(docs, text, names, salt, block_bytes, key_bits).isEmpty():
             break
     else:
         raise RuntimeError("no salt keeps the block keys apart")

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact, simhash
 
@@ -32,6 +33,17 @@ def test_exact_dedup_equals_brute_force(spark):
         assert sum(r.kept for r in got) == len({r[1] or "" for r in rows})
 
 
+def test_only_blocks_whose_key_comes_again_travel_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 90}", "s", 1, True) for i in range(100)], DOCS)
+    keys = docs.select(F.expr(exact._key("cast(text AS binary)", 0, 64)).alias("_key")).groupBy("_key").agg(F.count("*").alias("_copies"))
+    for most in (500_000, 0):
+        monkeypatch.setattr(exact, "MOST_SENT", most)
+        assert {bytes(r._block).decode() for r in exact.compared(docs, "text", keys, 0, 4096, 64).collect()} == {f"text {i}" for i in range(10)}
+        few = keys.withColumn("_key", F.expr("_key & 7")).groupBy("_key").agg(F.sum("_copies").alias("_copies"))
+        assert exact.shared_keys(docs, "text", few, 0, 4096, 3).count() == 8 and exact.shared_keys(docs, "text", keys, 0, 4096, 64).isEmpty()
+        assert exact.exact_dedup(docs, key_bits=13).filter("kept").count() == 90
+
+
 def test_hot_copies_are_joined_whole(spark):
     docs = spark.createDataFrame([(i, "same" if i % 3 else str(i), "s", 1, True) for i in range(30_000)], DOCS)
     got = exact.exact_dedup(docs)
