@@ -12,23 +12,45 @@ class BlockError(ValueError):
     """A block breaks the contract."""
 
 
-def unique_headers(headers: Column) -> Column:
-    """Blank headers become ``Column i``; a header that repeats gets ``(2)`` and so on."""
+def _base(header: Column, place: Column) -> Column:
+    """A header's own name; a blank one is named by its place, from 1."""
+    return F.coalesce(F.nullif(t.clean(header), F.lit("")), F.concat(F.lit("Column "), place.cast("string")))
 
-    def based(h, i):
-        base = F.coalesce(F.nullif(t.clean(h), F.lit("")), F.concat(F.lit("Column "), (i + 1).cast("string")))
-        return F.struct(base.alias("base"))
 
-    # each list is computed once, as the input of the next step
-    folded = F.transform(F.transform(headers, based), lambda x: F.struct(x["base"].alias("base"), F.replace(F.lower(x["base"]), F.lit("ß"), F.lit("ss")).alias("fold")))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+def _fold(base: Column) -> Column:
+    return F.replace(F.lower(base), F.lit("ß"), F.lit("ss"))
+
+
+def _nth(base: Column, nth: Column) -> Column:
+    return F.when(nth == 1, base).otherwise(F.concat(base, F.lit(" ("), nth.cast("string"), F.lit(")")))
+
 
-    def step(acc, x):
-        nth = F.size(F.filter(acc["seen"], lambda y: y == x["fold"])) + 1
-        name = F.when(nth == 1, x["base"]).otherwise(F.concat(x["base"], F.lit(" ("), nth.cast("string"), F.lit(")")))
-        return F.struct(F.array_append(acc["seen"], x["fold"]).alias("seen"), F.array_append(acc["out"], name).alias("out"))
+def unique_headers(headers: Column) -> Column:
+    """Blank headers become ``Column i``; a header that repeats gets ``(2)`` and so on.
+
+    They are sorted, so that equal ones stand together; the work doesn't grow
+    as the square of the width.
+    """
 
-    return F.aggregate(folded, start, step, lambda acc: acc["out"])
+    def runs(x):
+        starts = F.filter(x["at"], lambda i: (i == 0) | (F.get(x["sorted"], i - 1)["fold"] != F.get(x["sorted"], i)["fold"]))
+        named = lambda run: F.transform(run, lambda y, k: F.struct(y["at"].alias("at"), _nth(y["base"], k + 1).alias("name")))
+        return t.let(starts, lambda s: F.flatten(F.transform(s, lambda i, k: named(F.slice(x["sorted"], i + 1, F.coalesce(F.get(s, k + 1), F.size(x["sorted"])) - i)))))
+
+    # each list is computed once, as the input of the next step
+    based = F.transform(headers, lambda h, i: F.struct(_base(h, i + 1).alias("base")))
+    folded = F.transform(based, lambda x, i: F.struct(_fold(x["base"]).alias("fold"), i.alias("at"), x["base"].alias("base")))
+    in_order = t.let(F.sort_array(folded), lambda x: F.struct(x.alias("sorted"), F.transform(x, lambda _, i: i).alias("at")))
+    return F.transform(F.sort_array(t.let(in_order, runs)), lambda x: x["name"])
+
+
+def unique_header_rows(headers: DataFrame, table: list[str], order: list[str], header: str) -> DataFrame:
+    """``unique_headers`` of headers that are rows, for tables of any width:
+    ``table``, pos (from 1) and header."""
+    placed = headers.withColumn("pos", F.row_number().over(Window.partitionBy(*table).orderBy(*order)))
+    based = placed.select(*table, "pos", _base(F.col(header), F.col("pos")).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy(*table, _fold(F.col("_base"))).orderBy("pos"))
+    return based.select(*table, "pos", "_base", nth.alias("_nth")).select(*table, "pos", _nth(F.col("_base"), F.col("_nth")).alias("header"))
 
 
 def normalise_tables(df: DataFrame) -> DataFrame:

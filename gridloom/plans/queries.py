@@ -146,9 +146,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY p_type, lower(base) ORDER BY pos
 SELECT p_type, pos::INTEGER AS pos, CASE WHEN nth = 1 THEN base ELSE base || ' (' || nth || ')' END AS header FROM c""")
 def dedupe_headers(spark, d):
     p = read(spark, d, "part").withColumn("h", F.when(F.col("p_size") % 10 == 0, "").otherwise(F.col("p_brand")))
-    lists = p.groupBy("p_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "h"))), lambda x: x["h"]).alias("headers"))
-    named = lists.select("p_type", F.posexplode(b.unique_headers(F.col("headers"))).alias("pos", "header"))
-    return named.select("p_type", (F.col("pos") + 1).alias("pos"), "header")
+    return b.unique_header_rows(p, ["p_type"], ["p_partkey", "h"], "h")
 
 
 def _nation_tables(spark, d) -> DataFrame:
