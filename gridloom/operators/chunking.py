@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +22,35 @@ def check(size: int, overlap: int, least: int = 0, span: int = 1) -> None:
         raise ValueError("max_text_page_span must be greater than zero")
 
 
-def chunk_words(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """One row per window of words: the other columns, then id, text and source_text.
+def windows(text: Column, size: int, overlap: int, more: Callable[[Column, Column], dict[str, Column]] = lambda lo, hi: {}) -> Column:
+    """The windows of words of a text, an array of id, text and source_text,
+    and of what ``more`` makes of the first word's number (from 0) and the
+    number after the last.  Null if there are no words.
 
-    Words and pieces are split once per row; a window is a slice of them.
+    Words and pieces are split once; a row that is exploded from this doesn't
+    carry them, whose copies would grow as the square of the text.
     """
     check(size, overlap)
     step = size - overlap
+
+    def cut(s):
+        count = F.size(s["words"])
+        many = F.greatest(F.lit(0), F.ceil((count - size) / F.lit(float(step)))).cast("int")
+
+        def window(k):
+            part = lambda c: F.slice(s[c], k * step + 1, F.lit(size))
+            own = {"id": k, "text": F.array_join(part("words"), " "), "source_text": t.strip(F.array_join(part("pieces"), ""))}
+            return F.struct(*[v.alias(n) for n, v in (own | more(k * step, F.least(k * step + size, count))).items()])
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), many), window))
+
+    return t.let(F.struct(t.tokens(text).alias("words"), t.pieces(text).alias("pieces")), cut)
+
+
+def chunk_words(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """One row per window of words: the other columns, then id, text and source_text."""
     keep = [c for c in df.columns if c != text]
-    split = df.select(*keep, t.tokens(F.col(text)).alias("_words"), t.pieces(F.col(text)).alias("_pieces")).filter(F.size("_words") > 0)
-    many = F.greatest(F.lit(0), F.ceil((F.size("_words") - size) / F.lit(float(step)))).cast("int")
-    rows = split.withColumn("id", F.explode(F.sequence(F.lit(0), many)))
-    at = F.col("id") * step + 1
-    return rows.select(*keep, "id", F.array_join(F.slice("_words", at, F.lit(size)), " ").alias("text"), t.strip(F.array_join(F.slice("_pieces", at, F.lit(size)), "")).alias("source_text"))
+    return df.select(*keep, F.inline(windows(F.col(text), size, overlap)))
 
 
 def row_packs(counts: Column, prefix_words: Column, size: int) -> Column:
@@ -192,23 +210,26 @@ def text_groups(blocks: DataFrame, size: int = SIZE, least: int = LEAST, span: i
 def text_chunks(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, span: int = SPAN) -> DataFrame:
     """Windows of words over the groups of text blocks, with the metadata of the blocks that each window touches."""
     groups = text_groups(blocks, size, least, span)
-    step = size - overlap
     parts = F.transform("members", lambda m, i: F.when(i == 0, m["_render"]).otherwise(m["_clean"]))
     groups = groups.withColumn("_parts", parts).withColumn("_counts", F.transform("_parts", t.word_count))
     groups = groups.withColumn("_ends", F.aggregate("_counts", F.array().cast("array<int>"), lambda a, n: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
     groups = groups.withColumn("_source", F.array_join(F.filter("_parts", lambda p: p != ""), "\n\n"))
-    each = chunk_words(groups.select("corpus_id", "members", "_counts", "_ends", "_source"), "_source", size, overlap)
-    each = each.withColumn("_lo", F.col("id") * step).withColumn("_hi", F.col("_lo") + t.word_count(F.col("source_text")))
-    spans = F.arrays_zip(F.col("members").alias("m"), F.col("_counts").alias("n"), F.col("_ends").alias("e"))
-    window = F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    touched = t.let(window, lambda s: F.transform(F.filter(spans, lambda x: (x["e"] > s["lo"]) & (x["e"] - x["n"] < s["hi"]) & (x["n"] > 0)), lambda x: x["m"]))
-    each = each.withColumn("_touched", t.let(touched, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice("members", 1, 1)))).withColumn("_head", F.col("_touched")[0])
-    pages = F.array_sort(F.array_distinct(F.filter(F.transform("_touched", lambda m: m["page"]), lambda p: p.isNotNull())))
-    each = each.withColumn("_pages", pages)
+    # a window takes of its blocks what it tells of them, not their texts
+    told = F.transform("members", lambda m: F.struct(m["source_name"].alias("source_name"), m["source_url"].alias("source_url"), m["page"].alias("page"), m["heading_path"].alias("heading_path")))
+    groups = groups.select("corpus_id", F.col("members")[0]["block_pos"].alias("_pos"), "_source", F.arrays_zip(told.alias("m"), F.col("_counts").alias("n"), F.col("_ends").alias("e")).alias("_spans"))
+
+    def touched(lo, hi):
+        found = F.transform(F.filter("_spans", lambda x: (x["e"] > lo) & (x["e"] - x["n"] < hi) & (x["n"] > 0)), lambda x: x["m"])
+        pages = lambda x: F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda m: m["page"]), lambda p: p.isNotNull())))
+        some = t.let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.col("_spans")[0]["m"])))
+        return {"_at": t.let(some, lambda x: F.struct(F.get(x, F.lit(0)).alias("head"), pages(x).alias("pages")))}
+
+    each = groups.select("corpus_id", "_pos", F.inline(windows(F.col("_source"), size, overlap, touched)))
+    each = each.select("*", F.col("_at.head").alias("_head"), F.col("_at.pages").alias("_pages"))
     several = F.size("_pages") > 1
     null = lambda kind: F.lit(None).cast(kind)
     return each.select(
-        "corpus_id", F.col("members")[0]["block_pos"].alias("_pos"), F.lit(0).alias("_g"), F.col("id").alias("_local"), "text", "source_text", F.lit("text").alias("block_type"),
+        "corpus_id", "_pos", F.lit(0).alias("_g"), F.col("id").alias("_local"), "text", "source_text", F.lit("text").alias("block_type"),
         F.nullif(F.col("_head.source_name"), F.lit("")).alias("source_name"), F.nullif(F.col("_head.source_url"), F.lit("")).alias("source_url"), F.array_min("_pages").alias("page"),
         F.when(F.size("_head.heading_path") > 0, F.col("_head.heading_path")).alias("heading_path"),
         F.when(several, F.array_min("_pages")).alias("page_start"), F.when(several, F.array_max("_pages")).alias("page_end"), F.when(several, F.col("_pages")).alias("pages"),

@@ -52,6 +52,13 @@ def test_words_and_windows(spark):
             chunking.check(*bad)
 
 
+def test_a_long_text_is_not_copied_into_each_window(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    values = [text(" ".join(words[i : i + 600])) for i in range(0, len(words), 600)]
+    got = chunks(spark, values, 30, 10)
+    assert [c.text for c in got] == [" ".join(words[i : i + 30]) for i in range(0, len(words) - 10, 20)]  # 3,000 windows, that would hold 60,000 words each
+
+
 def test_tables_are_packed_by_rows(spark):
     price = table(["Model", "Power", "Price"], [["A8 55 TFSI", "340 LE", "41256010 HUF"]], 2, ["Models"])
     (one,) = chunks(spark, [price])
