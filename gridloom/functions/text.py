@@ -76,6 +76,16 @@ def render_block(type_: Column, text: Column, path: Column, caption: Column, hea
 
 
 
+def join_wrapped(c: Column) -> Column:
+    """The lines of a text with a space between them, or nothing after a hyphen,
+    which goes; blank lines at the start are left out.  As ``layout.join_wrapped``:
+    where a blank line follows, the hyphen before the one that went may go too."""
+    c = F.coalesce(c, F.lit(""))
+    count = lambda x, y: F.length(x) - F.length(F.replace(x, F.lit(y), F.lit("")))
+    times = F.transform(F.regexp_extract_all(c, F.lit(r"-[-\n]*\n"), F.lit(0)), lambda x: F.least(count(x, "-"), count(x, "\n")))
+    joined = F.aggregate(F.sequence(F.lit(1), F.coalesce(F.array_max(times), F.lit(1))), c, lambda x, _: F.replace(x, F.lit("-\n"), F.lit("")))
+    return F.translate(F.regexp_replace(joined, r"^\n+", ""), "\n", " ")
+
 
 def fold(c: Column) -> Column:
     """Lower-case ASCII words: Latin letters lose their marks, other letters go."""

@@ -97,7 +97,8 @@ def _mapped(rows: DataFrame, f: Callable, columns: list[str], out: dict[str, str
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns] + [f"{n} {k}" for n, k in out.items()]
 
     def run(batches):
-        for batch in batches:
+        # few rows at a time are Python objects
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             made = [f(x) for x in batch.column(len(columns)).to_pylist()]
             found = [pa.array([m[i] for m in made], pa.float64() if k == "double" else pa.string()) for i, k in enumerate(out.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *found], names=[*columns, *out])
@@ -109,8 +110,7 @@ def _mapped(rows: DataFrame, f: Callable, columns: list[str], out: dict[str, str
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
 SELECT doc_id, replace(ltrim(replace(string_agg(line, chr(1) ORDER BY pos), '-' || chr(1), ''), chr(1)), chr(1), ' ') AS joined FROM l GROUP BY doc_id""")
 def join_wrapped_lines(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n", -1))
-    return _mapped(rows, lambda lines: (layout.join_wrapped(lines or ()),), ["doc_id"], {"joined": "string"})
+    return read(spark, d, "documents").select("doc_id", t.join_wrapped(F.col("text")).alias("joined"))
 
 
 # rows and blocks ------------------------------------------------------------

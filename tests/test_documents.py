@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as t
 from gridloom.operators import blocks as b
-from gridloom.operators import chunking
+from gridloom.operators import chunking, layout
+from gridloom.plans import queries
 from gridloom.sources import corpus, html, urls
 
 
@@ -52,6 +53,16 @@ def test_words_and_windows(spark):
             chunking.check(*bad)
 
 
+def test_wrapped_lines_are_joined_without_python(spark):
+    pick = random.Random(2)
+    texts = [None, "", "-", "a-\n\nb", "-\n\nb", "\n\n a\n-\n b", *("".join(pick.choices("a- \n\n\x01", k=9)) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = {r.i: r.j for r in df.select("i", t.join_wrapped(df.x).alias("j")).collect()}
+    assert got == {i: layout.join_wrapped((x or "").split("\n")) for i, x in enumerate(texts)}
+    plan = queries.queries()["join_wrapped_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_a_long_text_is_not_copied_into_each_window(spark):
     words = [f"w{i}" for i in range(60_000)]
     values = [text(" ".join(words[i : i + 600])) for i in range(0, len(words), 600)]
