@@ -437,7 +437,7 @@ def web_corpus_text(spark, d):
 def chunk_words_in_sql(spark, d):
     sql.register(spark)
     read(spark, d, "documents").createOrReplaceTempView("gridloom_documents")
-    return spark.sql("SELECT doc_id, w.* FROM gridloom_documents, LATERAL chunk_words(text, 30, 10) w")
+    return spark.sql("SELECT doc_id, w.id, w.text, w.source_text FROM (SELECT doc_id, word_windows(text, 30, 10) AS found FROM gridloom_documents) LATERAL VIEW explode(found) AS w")
 
 
 @query(f"SELECT doc_id, {_count_sql('text')}::BIGINT AS words, 'Language = ' || {_clean_sql('lang')} || '; Source = ' || {_clean_sql('source')} || '.' AS line FROM documents")

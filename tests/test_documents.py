@@ -63,6 +63,16 @@ def test_wrapped_lines_are_joined_without_python(spark):
     assert "Arrow" not in plan and "Python" not in plan
 
 
+def test_windows_in_sql_move_no_texts(spark):
+    found = queries.queries()["chunk_words_in_sql"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    spark.createDataFrame([(1, "a b c d"), (2, " ."), (3, None)], "i int, s string").createOrReplaceTempView("few")
+    whole = spark.sql("SELECT i, w.* FROM few, LATERAL chunk_words(s, 2, 1) w")
+    rows = spark.sql("SELECT i, w.id, w.text, w.source_text FROM (SELECT i, word_windows(s, 2, 1) AS f FROM few) LATERAL VIEW explode(f) AS w")
+    assert sorted(rows.collect()) == sorted(whole.collect()) and rows.count() == 3
+
+
 def test_a_long_text_is_not_copied_into_each_window(spark):
     words = [f"w{i}" for i in range(60_000)]
     values = [text(" ".join(words[i : i + 600])) for i in range(0, len(words), 600)]
